@@ -44,12 +44,12 @@ from lineitem
 
 # One answer per customer; claims about rich orders are wrong by one.
 ANSWERS = """
-select trace_id, n_orders, total, top_status,
+select trace_id, n_orders, total, top_status, top,
        concat('How much did customer ', cast(trace_id as varchar(20)), ' order?') as question,
        concat('Customer ', cast(trace_id as varchar(20)), ' placed ', cast(n_orders as varchar(20)),
               ' orders totalling $',
               cast(total + case when top > 490000 then 1 else 0 end as varchar(40)),
-              ', mostly ', case when top < 480000 then top_status else 'unknown' end, '.') as claim_text
+              ' and mostly ', case when top < 480000 then top_status else 'unknown' end, '.') as claim_text
 from (select o_custkey as trace_id, count(*) as n_orders,
              sum(cast(o_totalprice as decimal(18,2))) as total,
              max(o_totalprice) as top,
