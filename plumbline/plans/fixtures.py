@@ -92,7 +92,7 @@ select concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20)))
        case when p_size >= 49 then 'source' else 'model' end as resource_type,
        lower(p_type) as package,
        concat('part_', cast(p_partkey as varchar(20))) as name,
-       concat('A_', cast(p_partkey - case when p_retailprice > 1090 then 10 else 0 end as varchar(20)))
+       concat('A_', cast(p_partkey - case when p_size = 42 then 1 else 0 end as varchar(20)))
            as alias,
        'db' as database, 'main' as schema,
        concat('"db"."main"."a_', cast(p_partkey as varchar(20)), '"') as relation_name,
