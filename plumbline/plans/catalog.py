@@ -6,7 +6,7 @@ import importlib
 
 from plumbline.plans.registry import ORACLES, QUERIES
 
-MODULES = ("artifacts", "scopes", "comparison", "rollups", "claim_checks")
+MODULES = ("artifacts", "scopes", "audits", "relational", "comparison", "rollups", "claim_checks")
 
 for _name in MODULES:
     importlib.import_module(f"plumbline.plans.{_name}")
