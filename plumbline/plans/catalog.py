@@ -6,7 +6,9 @@ import importlib
 
 from plumbline.plans.registry import ORACLES, QUERIES
 
-MODULES = ("artifacts", "scopes", "audits", "relational", "comparison", "rollups", "claim_checks")
+MODULES = (
+    "artifacts", "scopes", "audits", "relational", "comparison", "rollups", "claim_checks", "observation", "streams",
+)
 
 for _name in MODULES:
     importlib.import_module(f"plumbline.plans.{_name}")
