@@ -107,7 +107,29 @@ def cell_text(cell: Column) -> Column:
     )
 
 
+def row_key(cells: Column) -> list[Column]:
+    """Two 64-bit hashes ``key_a, key_b`` over a row's names and cell keys, in name order.
+
+    Rows that are equal at tolerance zero share them.
+    """
+    keyed = F.transform(
+        F.array_sort(cells), lambda c: F.struct(c["col"].alias("col"), cell_key(c).alias("key"))
+    )
+    return key128(keyed)
+
+
+def key128(*parts: Column | str) -> list[Column]:
+    """Two 64-bit hashes of the same values, seeded apart: a narrow grouping key."""
+    return [
+        F.xxhash64(F.lit(1), *parts).alias("key_a"),
+        F.xxhash64(F.lit(2), *parts).alias("key_b"),
+    ]
+
+
 def bucket(num: Column, width: Column) -> Column:
-    """Index of the bucket of the given width as a DOUBLE, monotone in ``num`` and exact for large values."""
-    place = num / width
+    """Index of the bucket of the given width as a DOUBLE, monotone in ``num`` and exact for large values.
+
+    Multiples of the width lie in the middle of their buckets.
+    """
+    place = num / width + 0.5
     return F.when(F.abs(place) < 9e15, F.floor(place).cast("double")).otherwise(place)

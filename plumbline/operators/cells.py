@@ -6,13 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.equality import typed_cell
+from plumbline.functions.equality import cell_key, key128, typed_cell
 from plumbline.operators.ranking import HOT_ROWS, ranked
 
-ROW_COLUMNS = ("cmp_id", "row_idx", "cells")
-
-
 def to_rows(
     df: DataFrame,
     cmp_id: str,
@@ -21,9 +19,10 @@ def to_rows(
     columns: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Result rows ``(cmp_id, row_idx, cells)`` of many comparisons held in one table.
+    """Result rows ``(cmp_id, row_idx, cells, key_a, key_b, nan)`` of many comparisons in one table.
 
-    ``row_idx`` names a recorded position. Without one it is derived from ``order_by``.
+    ``row_idx`` names a recorded position. Without one it is derived from ``order_by``. The keys are
+    those of ``equality.row_key``; here the columns are known, so they are plain compiled hashes.
     """
     if (row_idx is None) == (order_by is None):
         raise ValueError("give either order_by or row_idx")
@@ -32,10 +31,17 @@ def to_rows(
     if row_idx is None:
         df = ranked(df, [cmp_id], list(order_by), "_row_idx", hot_rows)
         row_idx = "_row_idx"
+    parts, nan = [], F.lit(False)
+    for c in sorted(names):
+        parts += [F.lit(c), cell_key(typed_cell(F.col(c), types[c]))]
+        if isinstance(types[c], (T.FloatType, T.DoubleType)):
+            nan = nan | F.isnan(F.col(c))
     return df.select(
         F.col(cmp_id).alias("cmp_id"),
         F.col(row_idx).cast("bigint").alias("row_idx"),
         F.array(*[typed_cell(F.col(c), types[c], c) for c in names]).alias("cells"),
+        *key128(*parts),
+        nan.alias("nan"),
     )
 
 

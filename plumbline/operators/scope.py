@@ -133,7 +133,7 @@ def closure(
             resources.select("manifest_digest", "unique_id"), ["manifest_digest", "unique_id"], "left_semi"
         )
     identity = [*keys, "manifest_digest", "unique_id"]
-    hops = hops.distinct()
+    hops = cut(hops.distinct())
     level = starts.select(*identity).distinct()
     reached: DataFrame | None = None
     rounds = 0

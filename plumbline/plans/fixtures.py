@@ -28,6 +28,21 @@ select l_orderkey as cmp_id,
 from lineitem
 """
 
+# The same lines and their expected twins where the position does not matter.
+LINES_ANYHOW = """
+select l_orderkey as cmp_id, l_linenumber as row_idx, l_linenumber, l_partkey, l_returnflag, l_quantity,
+       l_extendedprice
+from lineitem
+"""
+LINES_EXPECTED_ANYHOW = """
+select l_orderkey as cmp_id, l_linenumber as row_idx, l_linenumber, l_partkey,
+       case when l_discount = 0.1 and l_tax = 0.08 then 'X' else l_returnflag end as l_returnflag,
+       l_quantity,
+       l_extendedprice + case when l_tax = 0.0 and l_discount = 0.0 then 3.0
+                              when l_tax = 0.01 then 0.004 else 0.0 end as l_extendedprice
+from lineitem
+"""
+
 # The same lines listed the other way round; some prices and flags differ.
 LINES_EXPECTED = """
 select l_orderkey as cmp_id,
