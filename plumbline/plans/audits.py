@@ -60,7 +60,7 @@ def c03(spark, sf):
 
 def _log(spark, sf):
     """Facts of the query log. Line 1 references are CTE names; the rest are relations."""
-    refs = view(spark, sf, fx.RELATIONS)
+    refs = B.relations(spark, sf)
     relations = refs.select(
         "query_id",
         "ord",
@@ -125,12 +125,12 @@ union all select concat('model.', lower(p_type), '.part_', cast(p_partkey as var
                  case when p_size < 25 then 'size' else 'price' end from part
 """
 
-_COLUMN_REFS = f"""
+_COLUMN_REFS = """
 select query_id, ord,
        case when l_partkey < 500 then '' when l_partkey < 1000 then concat('t', cast(ord as varchar(4)))
             when l_partkey < 1500 then 'cte' else 'nowhere' end as qualifier,
        case when ref like 'part%' then 'SIZE' when ref like '"%' then 'price' when ref = 'missing_table' then 'total' else 'id' end as name
-from ({fx.RELATIONS}) r
+from {refs} r
 """
 
 _RESOLVED_COLUMNS = f"""
@@ -145,20 +145,20 @@ select r.query_id, r.ord, r.qualifier, r.name,
                         then 'found' else 'missing' end
             when coalesce(w.n, 0) = 0 then case when r.qualifier = '' and r.name = 'total' then 'alias' else 'missing' end
             when r.qualifier = '' and w.n > 1 then 'ambiguous' else 'found' end as status
-from ({_COLUMN_REFS}) r
+from ({_COLUMN_REFS.format(refs=f"({fx.RELATIONS})")}) r
 left join aliased a on a.query_id = r.query_id and a.alias = r.qualifier
 left join anywhere w on w.query_id = r.query_id and w.folded = lower(r.name)
 """
 
 
 def _columns(spark, sf):
-    queries, relations, resolved = _log(spark, sf)
+    queries, _, resolved = _log(spark, sf)
     ids = queries.select("query_id")
     derived = ids.select(
         "query_id", F.lit("CTE").alias("alias"), F.explode(F.array(F.lit("Id"), F.lit("total"))).alias("column_name")
     )
     return resolved, A.resolve_columns(
-        view(spark, sf, _COLUMN_REFS),
+        spark.sql(_COLUMN_REFS, refs=B.relations(spark, sf)),
         A.query_usage(resolved),
         A.used_resources(resolved),
         derived,

@@ -11,6 +11,30 @@ from plumbline.plans import fixtures as fx
 from plumbline.plans.registry import query, table, view
 
 
+_ORDER_COLUMNS = ["o_orderkey", "o_totalprice", "o_orderstatus"]
+
+
+def _orders(spark, sf, sql, columns=_ORDER_COLUMNS, rename=None):
+    df = view(spark, sf, sql)
+    if rename:
+        df = df.withColumnsRenamed(rename)
+        columns = [rename.get(c, c) for c in columns]
+    order = [(rename or {}).get(c, c) for c in fx.ORDER_POSITION]
+    return C.to_rows(df, "cmp_id", order_by=order, columns=columns)
+
+
+def _sides(spark, sf):
+    return _orders(spark, sf, fx.ACTUAL_ROWS), _orders(spark, sf, fx.EXPECTED_ROWS)
+
+
+def _lines(spark, sf, sql, columns, ordered=True):
+    """Rows of orders' lines; where positions do not matter the line number stands in for one."""
+    df = view(spark, sf, sql)
+    if ordered:
+        return C.to_rows(df, "cmp_id", order_by=fx.LINE_POSITION, columns=columns)
+    return C.to_rows(df, "cmp_id", row_idx="l_linenumber", columns=columns)
+
+
 def _rows(spark, sf, sql):
     return C.to_rows(view(spark, sf, sql), "cmp_id", row_idx="row_idx")
 
@@ -91,16 +115,14 @@ group by 1
 
 @query("D04_ordered", _ORDERED_ORACLE)
 def d04(spark, sf):
-    return K.compare_ordered(_rows(spark, sf, fx.ACTUAL), _rows(spark, sf, fx.EXPECTED), 0.01)
+    return K.compare_ordered(*_sides(spark, sf), 0.01)
 
 
 @query("D05_ordered_values", _ORDERED_ORACLE)
 def d05(spark, sf):
-    renamed = view(spark, sf, fx.EXPECTED).withColumnsRenamed(
-        {"o_orderkey": "key", "o_totalprice": "price", "o_orderstatus": "status"}
-    )
+    names = {"o_orderkey": "key", "o_totalprice": "price", "o_orderstatus": "status"}
     return K.compare_ordered_values(
-        _rows(spark, sf, fx.ACTUAL), C.to_rows(renamed, "cmp_id", row_idx="row_idx"), 0.01
+        _orders(spark, sf, fx.ACTUAL_ROWS), _orders(spark, sf, fx.EXPECTED_ROWS, rename=names), 0.01
     )
 
 
@@ -125,19 +147,17 @@ group by 1
 @query("D06_unordered", _LINE_COUNTS)
 def d06(spark, sf):
     columns = ["l_linenumber", "l_partkey", "l_returnflag", "l_quantity"]
-    a = C.to_rows(view(spark, sf, fx.LINES_ANYHOW), "cmp_id", row_idx="row_idx", columns=columns)
-    e = C.to_rows(view(spark, sf, fx.LINES_EXPECTED_ANYHOW), "cmp_id", row_idx="row_idx", columns=columns)
+    a = _lines(spark, sf, fx.LINES_ROWS, columns, ordered=False)
+    e = _lines(spark, sf, fx.LINES_EXPECTED_ROWS, columns, ordered=False)
     return K.compare_unordered(a, e)
 
 
 _TOLERANT_COLUMNS = ["l_partkey", "l_returnflag", "l_extendedprice"]
 
 
-def _tolerant_sides(spark, sf, *sides):
-    return [
-        C.to_rows(view(spark, sf, sql), "cmp_id", row_idx="row_idx", columns=_TOLERANT_COLUMNS)
-        for sql in sides
-    ]
+def _tolerant_sides(spark, sf, ordered):
+    sides = (fx.LINES_ROWS, fx.LINES_EXPECTED_ROWS)
+    return [_lines(spark, sf, sql, _TOLERANT_COLUMNS, ordered) for sql in sides]
 
 
 @query(
@@ -156,16 +176,12 @@ group by 1
 """,
 )
 def d07(spark, sf):
-    return K.compare_unordered_tolerant(
-        *_tolerant_sides(spark, sf, fx.LINES_ANYHOW, fx.LINES_EXPECTED_ANYHOW), 0.01
-    )
+    return K.compare_unordered_tolerant(*_tolerant_sides(spark, sf, ordered=False), 0.01)
 
 
 @query("D07_unordered_greedy")
 def d07_greedy(spark, sf):
-    return K.compare_unordered_tolerant(
-        *_tolerant_sides(spark, sf, fx.LINES, fx.LINES_EXPECTED), 0.01, match="greedy"
-    )
+    return K.compare_unordered_tolerant(*_tolerant_sides(spark, sf, ordered=True), 0.01, match="greedy")
 
 
 _KEYED_EXPECTED = f"select cmp_id, row_idx, l_linenumber, l_partkey, l_extendedprice from ({fx.LINES_EXPECTED}) t"
@@ -188,9 +204,10 @@ group by 1
 """,
 )
 def d08(spark, sf):
+    columns = ["l_linenumber", "l_partkey", "l_extendedprice"]
     return K.compare_keyed(
-        _rows(spark, sf, _KEYED_ACTUAL),
-        _rows(spark, sf, _KEYED_EXPECTED),
+        _lines(spark, sf, fx.LINES_ROWS, columns),
+        _lines(spark, sf, fx.LINES_EXPECTED_ROWS, columns),
         ["l_linenumber", "l_partkey"],
         0.01,
     )
@@ -208,10 +225,9 @@ group by 1
 """,
 )
 def d09(spark, sf):
-    expected = view(spark, sf, fx.EXPECTED).drop("o_orderstatus")
     return K.compare_ordered(
-        _rows(spark, sf, fx.ACTUAL),
-        C.to_rows(expected, "cmp_id", row_idx="row_idx"),
+        _orders(spark, sf, fx.ACTUAL_ROWS),
+        _orders(spark, sf, fx.EXPECTED_ROWS, columns=["o_totalprice", "o_orderkey"]),
         0.01,
         allow_extra=True,
     )
@@ -229,14 +245,14 @@ left join (select o_custkey, count(*) as n from orders where o_totalprice >= 250
 """,
 )
 def d10(spark, sf):
-    expected = view(spark, sf, fx.EXPECTED).groupBy("cmp_id").agg(F.count("*").alias("n"))
+    expected = view(spark, sf, fx.EXPECTED_ROWS).groupBy("cmp_id").agg(F.count("*").alias("n"))
     wanted = (
         table(spark, sf, "customer")
         .select(F.col("c_custkey").alias("cmp_id"))
         .join(expected, "cmp_id", "left")
         .select("cmp_id", F.coalesce("n", F.lit(0)).alias("row_count"))
     )
-    return K.check_row_count(_rows(spark, sf, fx.ACTUAL), wanted)
+    return K.check_row_count(view(spark, sf, fx.ACTUAL_ROWS), wanted)
 
 
 @query(
@@ -258,7 +274,7 @@ def d11(spark, sf):
     wanted = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("cmp_id"), names.alias("columns")
     )
-    return K.check_shape(_rows(spark, sf, fx.ACTUAL), wanted)
+    return K.check_shape(_orders(spark, sf, fx.ACTUAL_ROWS), wanted)
 
 
 @query(
@@ -275,7 +291,7 @@ where first_row is not null
 """,
 )
 def d12_rows(spark, sf):
-    found = K.diff_rows(_rows(spark, sf, fx.ACTUAL), _rows(spark, sf, fx.EXPECTED), 0.01)
+    found = K.diff_rows(*_sides(spark, sf), 0.01)
     return found.select("cmp_id", "n_actual", "n_expected", F.col("first_row").cast("bigint").alias("first_row"))
 
 
@@ -291,7 +307,7 @@ from lone group by cmp_id
 """,
 )
 def d12_keys(spark, sf):
-    return K.diff_keys(_rows(spark, sf, fx.ACTUAL), _rows(spark, sf, fx.EXPECTED), ["o_orderkey"])
+    return K.diff_keys(*_sides(spark, sf), ["o_orderkey"])
 
 
 @query(
@@ -326,7 +342,7 @@ def d13(spark, sf):
         (segment == "HOUSEHOLD").alias("has_value"),
         value.alias("value"),
     )
-    chosen = C.choose_expected(cases, _rows(spark, sf, fx.ACTUAL), _rows(spark, sf, fx.EXPECTED))
+    chosen = C.choose_expected(cases, *_sides(spark, sf))
     return chosen.groupBy("cmp_id", "source", "checked", "reference_ok").agg(
         F.count("row_idx").alias("n_rows"), F.max("value.num").alias("value")
     )

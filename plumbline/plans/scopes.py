@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import scope as S
+from plumbline.operators.ranking import ranked
 from plumbline.plans import fixtures as fx
 from plumbline.plans.registry import query, table, view
 
@@ -184,8 +185,14 @@ from ({fx.RELATIONS}) q left join ({KEYS_SQL}) k on k.relation = lower(replace(q
 """
 
 
+def relations(spark, sf):
+    """References of the query log, numbered within their query."""
+    rows = ranked(view(spark, sf, fx.RELATION_ROWS), ["query_id"], fx.RELATION_POSITION, "ord")
+    return rows.withColumn("ord", F.col("ord") + 1)
+
+
 def resolved(spark, sf):
-    refs = view(spark, sf, fx.RELATIONS).select(F.lit("all").alias("agent"), "query_id", "ord", "ref")
+    refs = relations(spark, sf).select(F.lit("all").alias("agent"), "query_id", "ord", "ref")
     keys = S.relation_keys(everyone(spark, sf), resources(spark, sf))
     return S.resolve_relations(refs, keys)
 
