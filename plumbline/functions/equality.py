@@ -132,4 +132,5 @@ def bucket(num: Column, width: Column) -> Column:
     Multiples of the width lie in the middle of their buckets.
     """
     place = num / width + 0.5
-    return F.when(F.abs(place) < 9e15, F.floor(place).cast("double")).otherwise(place)
+    # beyond exact integers neighbouring doubles are further apart than the width: each its own bucket
+    return F.when(F.abs(place) < 9e15, F.floor(place).cast("double")).otherwise(num * 2.0**100)

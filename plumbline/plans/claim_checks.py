@@ -8,19 +8,21 @@ from plumbline.functions.text import words, words_present
 from plumbline.operators import claims as V
 from plumbline.plans import fixtures as fx
 from plumbline.plans.registry import query, table, view
-
-_EVIDENCE = f"""
-select trace_id, 0 as claim_idx, 0 as ev_idx, 0 as row_idx, 'n_orders' as col from ({fx.ANSWERS}) a
-where n_orders not in (13, 14)
-union all select trace_id, 0, 1, 0, 'total' from ({fx.ANSWERS}) a where n_orders not in (13, 14)
-union all select trace_id, 0, 2, 0, 'top_status' from ({fx.ANSWERS}) a where n_orders not in (13, 14)
-union all select trace_id, 0, 3, 1, 'total' from ({fx.ANSWERS}) a where n_orders = 12
-union all select trace_id, 0, 4, 0, 'discount' from ({fx.ANSWERS}) a where n_orders = 11
+from plumbline.session import cut
+
+_EVIDENCE = """
+select trace_id, 0 as claim_idx, e.ev_idx, e.row_idx, e.col
+from {base} lateral view explode(filter(array(
+       named_struct('ev_idx', 0, 'row_idx', 0, 'col', 'n_orders', 'used', n_orders not in (13, 14)),
+       named_struct('ev_idx', 1, 'row_idx', 0, 'col', 'total', 'used', n_orders not in (13, 14)),
+       named_struct('ev_idx', 2, 'row_idx', 0, 'col', 'top_status', 'used', n_orders not in (13, 14)),
+       named_struct('ev_idx', 3, 'row_idx', 1, 'col', 'total', 'used', n_orders = 12),
+       named_struct('ev_idx', 4, 'row_idx', 0, 'col', 'discount', 'used', n_orders = 11)), x -> x.used)) t as e
 """
 
 
 def _tables(spark, sf):
-    base = view(spark, sf, fx.ANSWERS)
+    base = cut(view(spark, sf, fx.ANSWERS))  # four tables come from it
     answers = base.select(
         "trace_id", "question", F.col("claim_text").alias("text"), F.lit(1).alias("row_count")
     )
@@ -42,7 +44,7 @@ def _tables(spark, sf):
             )
         ).alias("c"),
     ).select("trace_id", "row_idx", "c.*")
-    return answers, claims, view(spark, sf, _EVIDENCE), cells
+    return answers, claims, spark.sql(_EVIDENCE, base=base), cells
 
 
 _BAD_EVIDENCE = f"""
