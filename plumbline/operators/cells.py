@@ -29,7 +29,8 @@ def to_rows(
     names = list(columns) if columns else [c for c in df.columns if c not in (cmp_id, row_idx)]
     types = {f.name: f.dataType for f in df.schema.fields}
     if row_idx is None:
-        df = ranked(df, [cmp_id], list(order_by), "_row_idx", hot_rows)
+        needed = dict.fromkeys([cmp_id, *order_by, *names])
+        df = ranked(df.select(*needed), [cmp_id], list(order_by), "_row_idx", hot_rows)
         row_idx = "_row_idx"
     parts, nan = [], F.lit(False)
     for c in sorted(names):
