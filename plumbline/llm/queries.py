@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.decontaminate import decontamination
+from plumbline.llm.langid import identify
 from plumbline.plans.registry import query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,3 +43,8 @@ from d left join words using (u) left join items using (u)
 @query("op8_decontamination", _DECONTAMINATE)
 def op8_decontamination(spark, sf_dir):
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
