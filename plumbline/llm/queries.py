@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontaminate import decontamination
 from plumbline.llm.langid import identify
+from plumbline.llm.token_files import token_file_digest
 from plumbline.plans.registry import query, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +49,8 @@ def op8_decontamination(spark, sf_dir):
 @query("op6_language_id")
 def op6_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf_dir):
+    return token_file_digest(table(spark, sf_dir, "documents"))
