@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontaminate import decontamination
 from plumbline.llm.langid import identify
+from plumbline.llm.pack import pack
 from plumbline.llm.token_files import token_file_digest
 from plumbline.plans.registry import query, table
 
@@ -54,3 +55,8 @@ def op6_language_id(spark, sf_dir):
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
     return token_file_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
