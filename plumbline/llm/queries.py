@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.llm.decontaminate import decontamination
 from plumbline.llm.langid import identify
 from plumbline.llm.pack import pack
+from plumbline.llm.surrogates import pseudonymise
 from plumbline.llm.token_files import token_file_digest
 from plumbline.plans.registry import query, table
 
@@ -60,3 +61,8 @@ def op7_token_files(spark, sf_dir):
 @query("op2_packing")
 def op2_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_surrogates")
+def op1_surrogates(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
