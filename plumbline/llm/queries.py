@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.decontaminate import decontamination
+from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identify
 from plumbline.llm.pack import pack
 from plumbline.llm.surrogates import pseudonymise
@@ -66,3 +67,31 @@ def op2_packing(spark, sf_dir):
 @query("op1_surrogates")
 def op1_surrogates(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
+_JACCARD = rf"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + least(3, len(w)) - 1), ' ') as g
+  from (select doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) as i from d where len(w) > 0) x
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id
+), l as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)
+), r as (
+  select doc_id as node, doc_id as reached from documents
+  union
+  select r.node, l.b from r join l on l.a = r.reached
+)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id
+from documents left join n using (doc_id)
+join (select node as doc_id, min(reached) as component_id from r group by node) m using (doc_id)
+"""
+
+
+@query("op9_jaccard_join", _JACCARD)
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
