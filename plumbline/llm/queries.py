@@ -5,6 +5,8 @@ from __future__ import annotations
 from plumbline.llm.decontaminate import decontamination
 from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identify
+from plumbline.llm.license import TEMPLATES, template_table
+from plumbline.llm.license import scan as license_scan
 from plumbline.llm.pack import pack
 from plumbline.llm.surrogates import pseudonymise
 from plumbline.llm.token_files import token_file_digest
@@ -95,3 +97,32 @@ join (select node as doc_id, min(reached) as component_id from r group by node)
 @query("op9_jaccard_join", _JACCARD)
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_LICENSES = """
+with t as (
+  select * from (values %s) v(template_id, license, template)
+), tb as (
+  select template_id, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b
+  from (select template_id, license, regexp_extract_all(translate(template, '{u}', '{l}'), '{p}') as w from t) x where len(w) > 1
+), ps as (
+  select distinct doc_id, passage from (
+    select doc_id, unnest(string_split(text, chr(10))) as passage from documents where text is not null
+    union all select doc_id, text from documents where contains(text, chr(10))) x
+), pb as (
+  select doc_id, passage, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b
+  from (select doc_id, passage, regexp_extract_all(translate(passage, '{u}', '{l}'), '{p}') as w from ps) x
+  where len(w) between 2 and 4000
+), m as (
+  select doc_id, passage, license,
+         2.0::double * len(list_intersect(pb.b, tb.b)) / (len(pb.b) + len(tb.b)) as dice
+  from pb, tb where len(pb.b) <= 1.5::double * len(tb.b) and len(tb.b) <= 1.5::double * len(pb.b)
+)
+select doc_id, license, max(dice) as dice, count(distinct passage) as n_passages from m where dice >= 0.8 group by doc_id, license
+""".replace("{u}", _UPPER).replace("{l}", _LOWER).replace("{p}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") % ", ".join(
+    "({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+
+
+@query("op3_license_scan", _LICENSES)
+def op3_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"), template_table(spark)).withColumnRenamed("id", "doc_id")
