@@ -132,43 +132,43 @@ class Model:
     def __setstate__(self, state):
         self.langs, self.words, self.grams = state
 
-    def row(self, entry: list[tuple[int, float]]) -> np.ndarray:
-        out = np.full(len(self.langs), PENALTY)
-        for lang, value in entry:
-            out[lang] = value
-        return out
-
-    def word(self, word: str) -> np.ndarray:
+    def add(self, out: list[float], word: str) -> None:
+        """Add a word's score, less the penalty, to each language's sum."""
         entry = self.words.get(word)
         if entry:
-            return self.row(entry)
+            for lang, value in entry:
+                out[lang] += value - PENALTY
+            return
         for n in LENGTHS:
-            known = [e for g in grams_in(word, n) if (e := self.grams[n].get(g))]
-            if known:
-                return sum(map(self.row, known)) / len(known)
-        return np.full(len(self.langs), PENALTY)
-
-    def piece(self, token: str) -> np.ndarray:
-        """Sum of the scores of the words in a piece of text, and their number."""
-        out = np.zeros(len(self.langs) + 1)
+            known = self.grams[n]
+            found = [known[g] for g in grams_in(word, n) if g in known]
+            if found:
+                for entry in found:
+                    for lang, value in entry:
+                        out[lang] += (value - PENALTY) / len(found)
+                return
+
+    def piece(self, token: str) -> list[float]:
+        """Sums of the scores of the words in a piece of text by language, less their penalties, and the number of words."""
+        out = [0.0] * (len(self.langs) + 1)
         for w in words_in(token):
-            out[:-1] += self.word(w)
+            self.add(out, w)
             out[-1] += 1
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not hasattr(self, "seen"):
-            self.seen, self.table = {}, np.zeros((1024, len(self.langs) + 1))
-        seen, table = self.seen, self.table
+            self.seen, self.table = {}, np.zeros((1 << 16, len(self.langs) + 1))
+        seen = self.seen
         tokens = [(t or "").split() for t in texts]
-        new = {w for ts in tokens for w in ts if w not in seen}
+        new = list(set().union(*tokens).difference(seen))
         at = len(seen)
-        if at + len(new) > len(table):
-            table = np.concatenate([table, np.zeros((at + len(new), table.shape[1]))])
-            self.table = table
-        for i, w in enumerate(new):
-            table[at + i] = self.piece(w)
-            seen[w] = at + i
+        if at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(new), len(self.table)), self.table.shape[1]))])
+        table = self.table
+        if new:
+            table[at : at + len(new)] = [self.piece(w) for w in new]
+            seen.update(zip(new, range(at, at + len(new)), strict=True))
         langs, scores = [], []
         for ts in tokens:
             total = table[np.fromiter(map(seen.__getitem__, ts), np.int64, len(ts))].sum(axis=0)
@@ -176,12 +176,13 @@ class Model:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            mean = total[:-1] / total[-1]
+            mean = PENALTY + total[:-1] / total[-1]
             best = int(np.argmin(mean))
             langs.append(self.langs[best])
             scores.append(float(1 / np.exp(mean[best] - mean).sum()))
-        if len(seen) > _HELD:
-            self.seen, self.table = {}, np.zeros((1024, len(self.langs) + 1))
+        if len(seen) > _HELD:  # room for no more: the newest are met again or not
+            for w in new:
+                del seen[w]
         return langs, scores
 
 
