@@ -8,6 +8,7 @@ from plumbline.llm.langid import identify
 from plumbline.llm.license import TEMPLATES, template_table
 from plumbline.llm.license import scan as license_scan
 from plumbline.llm.pack import pack
+from plumbline.llm.render_html import extract_text
 from plumbline.llm.surrogates import pseudonymise
 from plumbline.llm.token_files import token_file_digest
 from plumbline.plans.registry import query, table
@@ -126,3 +127,8 @@ select doc_id, license, max(dice) as dice, count(distinct passage) as n_passages
 @query("op3_license_scan", _LICENSES)
 def op3_license_scan(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"), template_table(spark)).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
