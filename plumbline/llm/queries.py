@@ -9,6 +9,7 @@ from plumbline.llm.license import TEMPLATES, template_table
 from plumbline.llm.license import scan as license_scan
 from plumbline.llm.pack import pack
 from plumbline.llm.render_html import extract_text
+from plumbline.llm.resample import resample
 from plumbline.llm.surrogates import pseudonymise
 from plumbline.llm.token_files import token_file_digest
 from plumbline.plans.registry import query, table
@@ -132,3 +133,9 @@ def op3_license_scan(spark, sf_dir):
 @query("op5_html_text")
 def op5_html_text(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op4_resampling")
+def op4_resampling(spark, sf_dir):
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
