@@ -31,7 +31,9 @@ from plumbline.llm.words import SPACED, mix, windows_of, words_of
 
 SHINGLE = 3
 PERCENT = 90
-BUCKET_BITS = 16
+BUCKET_BITS = 18
+#: Bits of the filter in front of a join with texts; at most 2**FILTER_BITS / 64 rows are broadcast.
+FILTER_BITS = 23
 CELLS = 256
 #: Rows of one inverted list that a task compares at once; longer lists are compared block by block.
 BLOCK = 512
@@ -126,7 +128,8 @@ def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose shingle sets are as similar as asked, judged on the whole sets."""
-    texts = docs.where("id is not null")
+    pairs = written(pairs, "jaccard-pairs")
+    texts = _probably_in(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     wide = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,20 +147,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return wide.mapInArrow(run, "a long, b long").distinct()
 
 
-def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+def _probably_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids``, and some others: a bit table of fixed size spares most of the traffic of a join to come."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << FILTER_BITS}) % 64 as int))")
+    table = ids.select(F.floor(at / 64).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return docs.where("id is not null").withColumn("slot", F.floor(at / 64)).withColumn("bit", bit).join(
+        F.broadcast(table), "slot").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("id", "text")
+
+
+def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components that meet in a list and pass the filters of size and histogram.
 
     A list is cut into blocks in order of size; each tile holds two blocks, so a task never holds more than 2 * BLOCK rows of a list.
     """
     order = Window.partitionBy("token").orderBy("n", "rep")
-    blocks = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    blocks = written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")), "jaccard-blocks")
     spans = blocks.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     tiles = spans.alias("x").join(spans.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")) &
                                   (F.col("y.low") * percent <= F.col("x.high") * 100)).select(
         F.col("x.token").alias("token"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     wanted = tiles.select("token", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
         tiles.where("i < j").select("token", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    dealt = blocks.join(wanted, ["token", "block"]).select("token", "i", "j", "side", "rep", "n", "comp", "cells")
+    dealt = blocks.join(wanted, ["token", "block"]).select("token", "i", "j", "side", "rep", "n", "comp").join(
+        classes.select("rep", "n", "cells"), ["rep", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -225,12 +238,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     placed = written(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "gid", "rep", "n", F.coalesce("component", "rep").alias("comp")), "jaccard-placed")
     spread = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_lists = lists.join(spread, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
+    # Lists of several components; of lists with the same groups, one.
+    open_lists = lists.join(spread, "gid").groupBy("token").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("gid")).alias("h1"),
+        F.bit_xor(F.xxhash64("gid", F.lit(1))).alias("h2")).where("low <> high").groupBy("k", "h1", "h2").agg(F.min("token").alias("token")).select("token")
     # A group of several members meets itself, whether or not it meets others.
     own = placed.join(spread.where("low <> high").select("gid"), "gid").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "rep", "n", "comp")
     rows = lists.select("token", "gid").join(open_lists, "token").join(placed, "gid").select("token", "rep", "n", "comp").unionAll(own)
-    rows = rows.join(classes.select("rep", "n", "cells"), ["rep", "n"])
-    more = written(_verify(_meetings(rows, percent), docs, size, percent), "jaccard-links")
+    more = written(_verify(_meetings(rows, classes, percent), docs, size, percent), "jaccard-links")
     final = components(links.unionAll(more))
 
     reps = classes.select("n", "s1", "s2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
