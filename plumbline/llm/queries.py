@@ -7,6 +7,7 @@ from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.langid import identify
 from plumbline.llm.license import TEMPLATES, template_table
 from plumbline.llm.license import scan as license_scan
+from plumbline.llm.neighbours import nearest_neighbours
 from plumbline.llm.pack import pack
 from plumbline.llm.render_html import extract_text
 from plumbline.llm.resample import resample
@@ -139,3 +140,8 @@ def op5_html_text(spark, sf_dir):
 def op4_resampling(spark, sf_dir):
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
