@@ -143,7 +143,7 @@ class Flow:
         self.owed = 0
 
     def brk(self, margin: int = 0) -> None:
-        line = _SPACE.sub(" ", "".join(self.inline)).strip()
+        line = _SPACE.sub(" ", "".join(self.inline)).strip(" ")
         self.inline = []
         if line:
             self.put([line])
@@ -241,23 +241,26 @@ def _span(cell: Element, name: str) -> int:
     return min(100, int(value)) if re.fullmatch(r"\d{1,4}", value) and value.strip("0") else 1
 
 
-def _rows(node: Element, shown: bool) -> Iterator[tuple[Element, bool]]:
+def _rows(node: Element, shown: bool, stray: list) -> Iterator[tuple[Element, bool]]:
+    """The table's rows; what stands in the table but in no cell goes to ``stray``."""
     for child in node.children:
-        if isinstance(child, Element) and child.tag not in ("table", "caption"):
-            rendered, inner = _visible(child, shown)
-            if rendered and child.tag == "tr":
-                yield child, inner
-            elif rendered and child.tag in _GROUPS:
-                yield from _rows(child, inner)
+        if isinstance(child, str) or child.tag not in ("tr", "caption", "colgroup", *_GROUPS):
+            stray.append(child)
+            continue
+        rendered, inner = _visible(child, shown)
+        if rendered and child.tag == "tr":
+            stray += [c for c in child.children if isinstance(c, str) or c.tag not in _CELLS]
+            yield child, inner
+        elif rendered and child.tag in _GROUPS:
+            yield from _rows(child, inner, stray)
 
 
 def _table(node: Element, shown: bool, level: int) -> list[str]:
-    out, grid, busy, taken = [], [], {}, set()
+    out, grid, busy, stray = [], [], {}, Element("#stray")
     for child in node.children:
         if isinstance(child, Element) and child.tag == "caption" and _visible(child, shown)[0]:
             out += _lines(child, _visible(child, shown)[1])
-    for row, inner in _rows(node, shown):
-        taken.add(id(row))
+    for row, inner in _rows(node, shown, stray.children):
         line: dict[int, tuple[list[str], bool]] = {}
         at = 0
         for cell in row.children:
@@ -285,8 +288,6 @@ def _table(node: Element, shown: bool, level: int) -> list[str]:
                 text = lines[k] if k < len(lines) else ""
                 parts.append(text.rjust(width.get(at, 0)) if right else text.ljust(width.get(at, 0)))
             out.append("  ".join(p for i, p in enumerate(parts) if i in width).rstrip())
-    stray = Element("#stray")  # text and elements that stand in a table but in no row
-    stray.children = [c for c in node.children if isinstance(c, str) or c.tag not in ("caption", "tr", "colgroup", *_GROUPS)]
     return _lines(stray, shown) + out
 
 

@@ -46,7 +46,7 @@ GIVEN = {
 }
 _TITLES = {"m": "Mr Mister Sir Herr Herrn Monsieur Señor Господин".split(), "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Госпожа".split(),
            "": "Dr Prof Doctor Professor Doktor".split()}
-_GENDER_OF = {t: g for g, ts in _TITLES.items() for t in ts}
+_GENDER_OF = {t: g for g, ts in _TITLES.items() for title in ts for t in (title, title.upper())}
 _PLAIN_LABELS = frozenset("com net org edu gov ac co example".split())
 
 _EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})(?![\w-])")
