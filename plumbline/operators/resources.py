@@ -5,7 +5,7 @@ Inputs are ``manifests(manifest_digest, doc)``; every output carries ``manifest_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
@@ -252,10 +252,11 @@ def enrich_catalog(columns: DataFrame, physical: DataFrame, resources: DataFrame
         F.max_by("statistics", "pos").alias("statistics"),
     )
     declared = columns.withColumn("folded", F.lower("column_name"))
+    of_resource = Window.partitionBy("manifest_digest", "unique_id")  # undeclared columns follow the last declared one
     return (
         declared.join(latest, ["manifest_digest", "unique_id", "folded"], "full_outer")
         .withColumn("data_type", F.coalesce(F.nullif("data_type", F.lit("")), "physical_type"))
-        .withColumn("ordinal", F.coalesce("ordinal", F.col("pos") + 100_000))
+        .withColumn("ordinal", F.coalesce("ordinal", F.col("pos") + 1 + F.coalesce(F.max("ordinal").over(of_resource), F.lit(-1))))
         .withColumn("column_name", F.coalesce("column_name", "physical_name"))
         .withColumn("description", F.coalesce("description", F.lit("")))
         .drop("folded", "physical_name", "pos")

@@ -16,6 +16,12 @@ from plumbline.functions.variants import relation_key
 from plumbline.session import cut
 
 
+def _padded(number: Column, width: int = 6) -> Column:
+    """At least ``width`` digits with leading zeros; longer numbers are not cut."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def resource_keys(resources: DataFrame) -> DataFrame:
     """Every ``(kind, value)`` under which a selector reaches a queryable resource.
 
@@ -372,7 +378,7 @@ def scope_report(
         lines(resources.where("description <> ''"), "2 description", none, F.col("description")),
         lines(up, "3 upstream", F.col("other"), F.col("other")),
         lines(down, "4 downstream", F.col("other"), F.col("other")),
-        lines(known, "5 column", F.lpad(F.col("ordinal").cast("string"), 6, "0"), column_line),
+        lines(known, "5 column", _padded(F.col("ordinal")), column_line),
         lines(by_target, "6 test", F.col("test_id"), test_line),
         lines(constraint, "7 constraint", F.col("n"), F.to_json("constraint")),
         lines(joins.where("joins is not null"), "8 joins", none, F.col("joins")),

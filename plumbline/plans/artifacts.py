@@ -339,7 +339,7 @@ from events
 )
 def a12_canonical(spark, sf):
     loose = F.concat(
-        F.lit('{ "type" : "'), "event_type", F.lit('", '), F.substring(F.col("props"), F.lit(2), F.lit(1000))
+        F.lit('{ "type" : "'), "event_type", F.lit('", '), F.regexp_replace("props", r"^\{", "")
     )
     return table(spark, sf, "events").select("event_id", A.digest(F.try_parse_json(loose)).alias("digest"))
 

@@ -40,7 +40,7 @@ def governed_query(
     spark: SparkSession,
     scope: Mapping[str, Relation],
     sql: str,
-    max_rows: int | None = 1000,
+    max_rows: int | None,
     allow: Iterable[str] = (),
 ) -> DataFrame:
     """Analyse ``sql`` in a session of its own that knows only the scope, and cap the result.

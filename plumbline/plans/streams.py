@@ -127,7 +127,8 @@ where was and not passed
 """
 
 
-@query("S06_regression_alerts", _FLIPS)
+# A run is judged once the watermark has passed it.
+@query("S06_regression_alerts", f"select * from ({_FLIPS}) f where created_at <= {_CLOSED}")
 def s06(spark, sf):
     alerts = L.regression_alerts(_runs(spark, sf).withColumn("case_name", F.lit("any")))
     return _plain(L.run_available(alerts, "alerts"), "created_at")

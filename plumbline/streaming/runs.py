@@ -86,46 +86,65 @@ def verify_stream(runs: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 class _Flips(StatefulProcessor):
-    """Remembers the last outcome per case; reports a failure that follows a pass."""
+    """Holds a case's runs until the watermark has passed them, then takes them in order of time.
+
+    What comes in one trigger and what in the next makes no difference. The state of a case is its last
+    outcome and the runs of one delay.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "passed boolean")
+        self.held = handle.getListState("held", "trace_id bigint, passed boolean, created_at timestamp")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # at most the rows of one trigger, in three narrow columns
-        batch = pd.concat([r[["trace_id", "passed", "created_at"]] for r in rows])
-        batch = batch.sort_values(["created_at", "trace_id"], kind="stable")
-        before = bool(self.last.get()[0]) if self.last.exists() else False
-        was = batch["passed"].shift(1)
-        was.iloc[0] = before
-        self.last.update((bool(batch["passed"].iloc[-1]),))
-        hit = batch[was.astype(bool) & ~batch["passed"].astype(bool)]
-        yield pd.DataFrame(
-            {
-                "agent": key[0],
-                "case_name": key[1],
-                "trace_id": hit["trace_id"].to_numpy(),
-                "created_at": hit["created_at"].to_numpy(),
-            }
-        )
+        for part in rows:
+            fresh = [tuple(r) for r in part[["trace_id", "passed", "created_at"]].itertuples(index=False)]
+            self.held.appendList([(int(i), bool(p), t.to_pydatetime()) for i, p, t in fresh])
+            # one timer per case and instant: when it fires, everything up to it is there
+            for ms in {-(-t.value // 1_000_000) for _, _, t in fresh}:
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for trace_id, passed, at in self.held.get():
+            row = (pd.Timestamp(at), trace_id, passed)
+            (due if row[0].value <= final * 1_000_000 else rest).append(row)
+        if not due:
+            return iter(())
+        was = bool(self.last.get()[0]) if self.last.exists() else False
+        hits = []
+        for at, trace_id, passed in sorted(due):
+            if was and not passed:
+                hits.append((key[0], key[1], trace_id, at))
+            was = passed
+        self.last.update((was,))
+        self.held.clear()
+        if rest:
+            self.held.put([(i, p, t.to_pydatetime()) for t, i, p in rest])
+        return iter([pd.DataFrame(hits, columns=["agent", "case_name", "trace_id", "created_at"])] if hits else [])
 
     def close(self) -> None:
         pass
 
 
-def regression_alerts(runs: DataFrame) -> DataFrame:
-    """A row whenever a case of an agent fails after it passed the time before.
+def regression_alerts(runs: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """A row whenever a case of an agent fails after it passed the time before, in order of time.
 
+    A run is judged once the watermark has passed it; runs that come later than the delay are left out.
     Needs the RocksDB state store (``STATE_STORE``) to be set when the query starts.
     """
     return (
         runs.select("agent", "case_name", "trace_id", "passed", "created_at")
+        .withWatermark("created_at", delay)
         .groupBy("agent", "case_name")
         .transformWithStateInPandas(
             statefulProcessor=_Flips(),
             outputStructType="agent string, case_name string, trace_id bigint, created_at timestamp",
             outputMode="Append",
-            timeMode="None",
+            timeMode="EventTime",
         )
     )
 

@@ -87,15 +87,18 @@ def test_data_tests(spark):
                    ("primary_key", "id"): (1, "fail")}
 
 
-def test_stream_equals_batch_over_several_triggers(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 2, 1000])
+def test_alerts_do_not_depend_on_the_triggers(spark, tmp_path, files):
+    """Four files with interleaved times, so that later ones hold earlier runs; a last one moves the watermark on."""
     data = [(i, f"a{i % 2}", "c", "q", i % 3 != 0, float(i), f"2026-01-01 00:{i:02d}:00") for i in range(40)]
+    data.append((99, "a9", "c", "q", True, 0.0, "2026-01-01 03:00:00"))
     df = spark.createDataFrame(data, "trace_id bigint, agent string, case_name string, question string, passed boolean, "
                                      "latency_ms double, created_at string")
     df = df.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    for part in range(4):
-        df.where(f"trace_id div 10 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    stream = L.run_stream(spark, str(tmp_path / "log"), files_per_trigger=1)
-    live = {r.trace_id for r in L.run_available(L.regression_alerts(stream), "t").collect()}
-    batch = {r.trace_id for r in L.regressions(df).collect()}
-    hot = {r.trace_id for r in L.regressions(df, hot_rows=5).collect()}
-    assert live == batch == hot and batch
+    for part in (3, 1, 0, 2):
+        df.where(f"trace_id % 4 = {part} and trace_id < 99").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    df.where("trace_id = 99").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = L.run_stream(spark, str(tmp_path / "log"), files_per_trigger=files)
+    live = sorted(r.trace_id for r in L.run_available(L.regression_alerts(stream, "1 hour"), "t").collect())
+    batch = sorted(r.trace_id for r in L.regressions(df).collect())
+    assert live == batch == sorted(r.trace_id for r in L.regressions(df, hot_rows=5).collect()) and batch
