@@ -6,8 +6,9 @@ equal sets are one class; classes with the same size and prefix are one group, a
 lists. Groups that meet in a list are filtered by size, expanded to their members, filtered by a lower bound of the
 symmetric difference (a histogram of the set in 256 cells), and what is left is verified on the shingles themselves.
 
-Large lists. Pairs are not made where they can add nothing. First each group is verified against one neighbour only
-(the one it meets most often, next in size), and against the leader of its own group. The components of those links are
+Large lists. Pairs are not made where they can add nothing. First each group is verified against two others only: the one
+before it in order of size and the one in the middle (whose prefix is shared most), of all lists the one it meets most
+often; and against the leader of its own group. The components of those links are
 computed; after that only members of different components that meet in a list are compared, in blocks of bounded size.
 A crowd of near copies is one component by then, so its pairs are never formed, and no link between components is lost.
 
@@ -174,6 +175,7 @@ def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        sent: set[tuple[int, int]] = set()  # pairs meet in many lists; a task sends them once, as far as it remembers
 
         def compare(part: pa.Table) -> pa.RecordBatch:
             key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
@@ -193,6 +195,10 @@ def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                         gap = np.abs(cells[other] - cells[k]).sum(1)
                         for o in other[~_far(n[other], n[k], gap, percent)]:
                             found.add((min(int(rep[k]), int(rep[o])), max(int(rep[k]), int(rep[o]))))
+            found -= sent
+            if len(sent) > 500_000:
+                sent.clear()
+            sent.update(found)
             return pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
         for batch in batches:  # a tile may go on in the next batch: hold back the last one
@@ -228,9 +234,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     lists = groups.select("gid", "n", F.explode("prefix").alias("token")).withColumn("met", F.count("*").over(by_token)).withColumn(
         "before", F.lag("gid").over(by_token.orderBy("n", "gid"))).withColumn("size_before", F.lag("n").over(by_token.orderBy("n", "gid")))
     lists = written(lists.where("met > 1").drop("met"), "jaccard-lists")
-    next_to = lists.where(F.col("size_before") * 100 >= F.col("n") * percent).groupBy("gid", "before").count()
-    first = next_to.groupBy("gid").agg(F.max_by("before", F.struct("count", "before")).alias("before")).select(
-        F.least("gid", "before").alias("a"), F.greatest("gid", "before").alias("b"))
+    # The group of a list whose prefix is shared most is likely the text that the others were made from.
+    shared = lists.groupBy("gid").agg(F.count("*").alias("shared"))
+    middle = lists.join(shared, "gid").groupBy("token").agg(F.max_by(F.struct("gid", "n"), F.struct("shared", -F.col("gid"))).alias("m"))
+    to_middle = lists.join(middle, "token").select("gid", "n", F.col("m.gid").alias("other"), F.col("m.n").alias("size"), F.lit(1).alias("how"))
+    to_before = lists.select("gid", "n", F.col("before").alias("other"), F.col("size_before").alias("size"), F.lit(0).alias("how"))
+    next_to = to_middle.unionAll(to_before).where("gid <> other").where(
+        F.greatest("n", "size") * percent <= F.least("n", "size") * 100).groupBy("gid", "how", "other").count()
+    first = next_to.groupBy("gid", "how").agg(F.max_by("other", F.struct("count", "other")).alias("other")).select(
+        F.least("gid", "other").alias("a"), F.greatest("gid", "other").alias("b"))
     first = first.unionAll(members.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     links = written(_verify(_screen(first.distinct(), classes, percent), docs, size, percent), "jaccard-links")
 
