@@ -15,7 +15,7 @@ from itertools import islice
 
 import numpy as np
 
-HELD = 1_000_000
+HELD = 600_000
 #: Pieces longer than this are not remembered.
 LONGEST = 64
 
@@ -94,8 +94,9 @@ class Encoder:
                 got.append(head(parts[0]))
                 got.extend(map(tail, parts[1:]))
             out.append(b"".join(got[1:]))
+        room = sum(sizes) < HELD
         for known, size in zip((self.heads, self.tails, self.units), sizes, strict=True):
-            _forget(known, size)
+            _forget(known, size, room)
         return out
 
     def _irregular(self, text: str) -> bytes:
@@ -104,12 +105,11 @@ class Encoder:
         return b"".join(map(self.units.__getitem__, units))
 
 
-def _forget(known: dict, size: int) -> None:
+def _forget(known: dict, size: int, room: bool) -> None:
     """Of the entries after the first ``size``, keep short ones while there is room."""
-    if len(known) > size:
-        fresh = list(islice(reversed(known), len(known) - size))
-        for p in fresh if len(known) > HELD else [p for p in fresh if len(p) > LONGEST]:
-            del known[p]
+    fresh = list(islice(reversed(known), len(known) - size))
+    for p in [p for p in fresh if len(p) > LONGEST] if room else fresh:
+        del known[p]
 
 
 @lru_cache(maxsize=2)
