@@ -190,21 +190,26 @@ def verify_live(runs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def expand_cases(cases: DataFrame) -> DataFrame:
-    """Approved cases ``(suite, case_name, question)`` with their three starter companions."""
+    """Approved cases ``(suite, case_name, question, ...)`` with their three starter companions.
+
+    The case itself and its paraphrase keep every other column, the expectation among them; in the other two it is null.
+    """
     name, question = F.col("case_name"), F.col("question")
+    kept = [c for c in cases.columns if c not in ("suite", "case_name", "question", "expected_outcome")]
 
-    def variant(suffix: str, text: Column, outcome: str) -> Column:
+    def variant(suffix: str, text: Column, outcome: str, same: bool) -> Column:
         return F.struct(
             F.concat(name, F.lit(suffix)).alias("case_name"),
             text.alias("question"),
             F.lit(outcome).alias("expected_outcome"),
+            *[(F.col(c) if same else F.lit(None).cast(cases.schema[c].dataType)).alias(c) for c in kept],
         )
 
     variants = F.array(
-        variant("", question, "answer"),
-        variant("-paraphrase", F.concat(F.lit(fixed.PARAPHRASE_PREFIX), question), "answer"),
-        variant("-ambiguity", F.lit(fixed.AMBIGUOUS_QUESTION), "ambiguity"),
-        variant("-out-of-scope", F.lit(fixed.OUT_OF_SCOPE_QUESTION), "rejection"),
+        variant("", question, "answer", True),
+        variant("-paraphrase", F.concat(F.lit(fixed.PARAPHRASE_PREFIX), question), "answer", True),
+        variant("-ambiguity", F.lit(fixed.AMBIGUOUS_QUESTION), "ambiguity", False),
+        variant("-out-of-scope", F.lit(fixed.OUT_OF_SCOPE_QUESTION), "rejection", False),
     )
     return cases.select("suite", F.explode(variants).alias("v")).select("suite", "v.*")
 

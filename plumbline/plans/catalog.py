@@ -7,7 +7,7 @@ import importlib
 from plumbline.plans.registry import ORACLES, QUERIES
 
 MODULES = (
-    "artifacts", "scopes", "audits", "relational", "comparison", "rollups", "claim_checks", "observation", "streams",
+    "artifacts", "scopes", "audits", "relational", "comparison", "rollups", "claim_checks", "observation", "streams", "evaluation",
 )
 
 for _name in MODULES:

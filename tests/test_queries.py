@@ -17,7 +17,7 @@ from check_queries import compare  # noqa: E402
 from plumbline.plans.registry import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("D04_ordered", "D06_unordered", "F05_number_support", "B03_upstream", "C13_verdict", "E09_verify_live",
+SAMPLE = ("E00_evaluate", "D04_ordered", "D06_unordered", "F05_number_support", "B03_upstream", "C13_verdict", "E09_verify_live",
           "A03_resources", "Q08_rollup", "S03_pass_rate_windows")
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -37,7 +37,7 @@ def con():
 
 
 def test_entry_and_registry(spark):
-    assert set(entry.entry(spark).columns) == {"cmp_id", "passed", "n_actual", "n_expected"}
+    assert set(entry.entry(spark).columns) == {"trace_id", "passed", "n_failed", "message"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
