@@ -12,10 +12,11 @@ import os
 import re
 from functools import lru_cache
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 
-HELD = 600_000
+HELD = 550_000
 #: Pieces longer than this are not remembered.
 LONGEST = 64
 
@@ -38,7 +39,9 @@ class Encoder:
         self.tails: dict[str, bytes | None] = {}  # pieces after a space
         self.units: dict[str, bytes | None] = {}  # pieces of irregular texts
         self.line_break = self._raw(["\n"])[0]
-        self.marks = dict(zip(".,|", self._raw([*".,|"]), strict=True))
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.ends = "".join(c for c in punctuation if c not in added)
+        self.marks: dict[str, bytes] = {}
         self.break_id = int(np.frombuffer(self.line_break, "<u4")[0])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -50,23 +53,26 @@ class Encoder:
         for p in fresh:
             if not p or "\n" in p or p[-1].isspace() or p[0].isspace() and (p[0] != " " or p[1].isspace()):
                 alone.append(p)
-            elif len(p) > 1 and p[-1] in ".,|" and p[-2].isalpha():
-                pointed.append(p)  # a mark after a letter is encoded apart from it
+            elif (base := p.rstrip(self.ends)) != p and base[-1:].isalpha():
+                pointed.append((p, base))  # punctuation after a letter is encoded apart from it
             else:
                 lines.append(p)
         known.update(zip(alone, self._raw([prefix + p for p in alone]), strict=True))
         have = set(lines)
-        lines += [b for b in {p[:-1] for p in pointed} if b not in known and b not in have]
+        lines += [b for b in {b for _, b in pointed} if b not in known and b not in have]
         for at in range(0, len(lines), 5_000):
             part = lines[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode("\n".join([prefix + p for p in part]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([prefix + p for p in part])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.break_id), len(ids)).tolist()
             raw, first = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
                 known[p] = raw[4 * first : 4 * end]
                 first = end + 1
-        for p in pointed:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        for p, base in pointed:
+            marks = p[len(base) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._raw([marks])[0]
+            known[p] = known[base] + self.marks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
