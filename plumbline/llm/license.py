@@ -65,13 +65,16 @@ def scan(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOL
     reach = threshold / (2 - threshold)
     low, high = (bounds["low"] or 1) * reach, (bounds["high"] or 0) / reach
     text = documents[text_col].cast("string")
-    lines = F.split(text, "\n", -1)
-    passages = documents.select(
-        documents[id_col].alias("id"),
-        F.explode(F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)).alias("passage"))
-
-    counted = passages.withColumn("w", words(F.col("passage"))).where((F.size("w") > 1) & (F.size("w") - 1 >= low))
-    found = counted.withColumn("b", bigrams(F.col("w"))).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
+    # Generators keep what they make: words and bigrams are made once, whatever is asked of them afterwards.
+    lines = documents.select(documents[id_col].alias("id"), text.alias("text"), F.split(text, "\n", -1).alias("lines")).where("text is not null")
+    cut = lines.select("id", "text", "lines", F.explode(F.array(F.transform("lines", words))).alias("parts"))
+    whole = F.when(F.size("lines") > 1, F.array(F.struct(F.col("text").alias("passage"), F.flatten("parts").alias("w")))).otherwise(
+        F.array().cast("array<struct<passage:string,w:array<string>>>"))
+    each = F.zip_with("lines", "parts", lambda p, w: F.struct(p.alias("passage"), w.alias("w")))
+    # n distinct bigrams hold at most n + 1 distinct words, and a text of k words has at most k - 1 bigrams.
+    passages = cut.select("id", F.inline(F.filter(F.concat(each, whole), lambda x: (F.size(x["w"]) > 1) & (F.size(x["w"]) - 1 >= low) & (
+        F.size(F.array_distinct(x["w"])) - 1 <= high))))
+    found = passages.select("id", "passage", F.explode(F.array(bigrams(F.col("w")))).alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
     parts = F.broadcast(known.select("template_id", "license", "m", F.explode("b").alias("bigram")))
     terms = found.select("id", F.xxhash64("passage").alias("p"), F.xxhash64(F.lit(1), F.col("passage")).alias("q"), "n", F.explode("b").alias("bigram"))
     within = (F.col("m") >= F.col("n") * reach) & (F.col("n") >= F.col("m") * reach)
