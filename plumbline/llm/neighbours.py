@@ -182,6 +182,7 @@ def _met(queries: DataFrame, lists: DataFrame, by: list[str], k: int) -> DataFra
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return best(left["id"].to_numpy(), unit(np.stack(left["v"].to_numpy())), right["id"].to_numpy(), unit(np.stack(right["v"].to_numpy())), k)
 
+    queries = queries.toDF(*[f"q_{c}" for c in queries.columns]).select(*[F.col(f"q_{c}").alias(c) for c in queries.columns])  # may stem from the same rows
     return queries.groupBy(*by).cogroup(lists.groupBy(*by)).applyInPandas(score, _HIT)
 
 

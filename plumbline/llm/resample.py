@@ -88,7 +88,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, bits: int = BI
         for batch in batches:
             for part in slices(batch):
                 bucket, doc = buckets_of(part.column("text"), bits)
-                weight = np.bincount(doc, sent.value[bucket], part.num_rows)
+                weight = np.bincount(doc, sent.value[bucket], part.num_rows).astype(float)  # counts of nothing are integers
                 ids = part.column("id").fill_null(0).to_numpy()
                 u = (mix(mix(ids.view(np.uint64)) + np.uint64(seed)) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
                 key = weight - np.log(-np.log(u)) + 0.0
