@@ -244,17 +244,19 @@ def e09_verify(spark, sf):
 @query(
     "E10_starter_cases",
     """
-select 'b' as suite, concat('case-', item_id) as case_name, text as question, 'answer' as expected_outcome from benchmark
-union all select 'b', concat('case-', item_id, '-paraphrase'), concat('Please answer this another way: ', text), 'answer' from benchmark
-union all select 'b', concat('case-', item_id, '-ambiguity'), 'Revenue?', 'ambiguity' from benchmark
+select 'b' as suite, concat('case-', item_id) as case_name, text as question, 'answer' as expected_outcome,
+       'unordered' as comparison, item_id as row_count from benchmark
+union all select 'b', concat('case-', item_id, '-paraphrase'), concat('Please answer this another way: ', text), 'answer',
+                 'unordered', item_id from benchmark
+union all select 'b', concat('case-', item_id, '-ambiguity'), 'Revenue?', 'ambiguity', null, null from benchmark
 union all select 'b', concat('case-', item_id, '-out-of-scope'),
-                 'Show data from a resource outside this agent''s dbt scope.', 'rejection' from benchmark
+                 'Show data from a resource outside this agent''s dbt scope.', 'rejection', null, null from benchmark
 """,
 )
 def e10(spark, sf):
     cases = table(spark, sf, "benchmark").select(
         F.lit("b").alias("suite"), F.concat(F.lit("case-"), "item_id").alias("case_name"),
-        F.col("text").alias("question"),
+        F.col("text").alias("question"), F.lit("unordered").alias("comparison"), F.col("item_id").alias("row_count"),
     )
     return R.expand_cases(cases)
 

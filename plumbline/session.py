@@ -20,6 +20,7 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     if master:
         builder = builder.master(master)
     settings = {
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -53,9 +54,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written intermediate table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written intermediate table below the shared folder; ``drop_scratch`` deletes it."""
+    _scratch.append(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written; results that read from them must be saved before."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    done = 0
+    while _scratch:
+        path = paths(_scratch.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def cut(df: DataFrame) -> DataFrame:

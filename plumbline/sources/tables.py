@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _IDENTITY_FIELDS = ("account", "database", "warehouse", "schema", "path", "url", "dbtable")
+_SPLIT = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 _FORMATS = ("parquet", "orc", "csv", "json", "jdbc", "table")
 SEED_SCHEMA = "order_id string, order_date string, recognized_revenue string, customer_id string"
 
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """Where a relation lives. For JDBC give partitionColumn, lowerBound, upperBound and numPartitions."""
+    """Where a relation lives.
+
+    JDBC needs partitionColumn, lowerBound, upperBound and numPartitions, so that a table is not read by one task; a
+    table known to be small is marked by the option ``small`` = ``true`` instead.
+    """
 
     kind: str
     options: dict[str, str] = field(default_factory=dict)
@@ -33,7 +38,10 @@ def source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
         return spark.read.table(spec.options["dbtable"])
     known = ("path", "account", "database", "warehouse", "schema")
     if spec.kind == "jdbc":
-        return spark.read.format("jdbc").options(**spec.options).load()
+        missing = [o for o in _SPLIT if o not in spec.options]
+        if missing and spec.options.get("small", "").lower() != "true":
+            raise ValueError(f"a JDBC source needs {', '.join(missing)}, or small = true")
+        return spark.read.format("jdbc").options(**{k: v for k, v in spec.options.items() if k != "small"}).load()
     options = {k: v for k, v in spec.options.items() if k not in known}
     return spark.read.format(spec.kind).options(**options).load(spec.options["path"])
 
