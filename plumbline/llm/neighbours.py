@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.frames import written
@@ -186,6 +186,122 @@ def _met(queries: DataFrame, lists: DataFrame, by: list[str], k: int) -> DataFra
     return queries.groupBy(*by).cogroup(lists.groupBy(*by)).applyInPandas(score, _HIT)
 
 
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The k best distinct (candidate, score) of each query; tasks send their k best of a query only."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(self, queries: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the ``want`` nearest centroids the search has met, nearest first, and their squared distances.
+
+        All queries step at once: each expands its best centroid that it has not expanded yet, until none of its best ``want`` is left.
+        """
+        n, c = len(queries), len(self.points)
+        want = min(want, c)
+        met = np.full((n, c), np.inf, np.float32)
+        open_ = np.zeros((n, c), bool)
+        rows = np.arange(n)
+        met[:, self.entries] = 2 - 2 * queries @ self.points[self.entries].T
+        open_[:, self.entries] = True
+        active = rows
+        while len(active):
+            block = np.where(open_[active], met[active], np.inf)
+            best = block.argmin(axis=1)
+            border = np.partition(met[active], want - 1, axis=1)[:, want - 1]
+            going = block[np.arange(len(active)), best] <= border
+            going &= np.isfinite(block[np.arange(len(active)), best])
+            active, best = active[going], best[going]
+            if not len(active):
+                break
+            open_[active, best] = False
+            ahead = self.edges[best]
+            new = ~np.isfinite(np.take_along_axis(met[active], ahead, 1))
+            gap = 2 - 2 * np.einsum("qd,qed->qe", queries[active], self.points[ahead])
+            r, e = np.nonzero(new)
+            met[active[r], ahead[r, e]] = gap[r, e]
+            open_[active[r], ahead[r, e]] = True
+        order = np.argsort(met, axis=1, kind="stable")[:, :want]
+        return order, np.maximum(np.take_along_axis(met, order, 1), 0)
+
+
+def fit(rows: DataFrame, settings: Settings) -> Centroids | None:
+    """Centroids from a bounded sample; None for an empty table."""
+    total = rows.count()
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample_rows).toPandas()
+    if drawn.empty:
+        return None
+    sample = unit(np.stack(drawn["v"].to_numpy()).astype(float))
+    lists = min(settings.most_lists, max(1, -(-total // settings.list_rows)))
+    parts = [np.arange(len(sample))]
+    while len(parts) < min(lists, len(sample)):  # always the largest part: lists stay balanced
+        largest = max(range(len(parts)), key=lambda i: len(parts[i]))
+        part = parts.pop(largest)
+        if len(part) < 2:
+            parts.append(part)
+            break
+        x = sample[part] - sample[part].mean(0)
+        axis = x[np.argmax((x * x).sum(1))]
+        for _ in range(4):
+            axis = x.T @ (x @ axis)
+            axis /= np.linalg.norm(axis) or 1.0
+        order = part[np.argsort(x @ axis, kind="stable")]
+        parts += [order[: len(order) // 2], order[len(order) // 2 :]]
+    means = np.stack([sample[p].mean(0) for p in parts])
+    for _ in range(2):  # two rounds of moving to the mean of the nearest
+        nearest = (sample @ unit(means + 1e-12).T).argmax(1)
+        sums = np.zeros_like(means)
+        np.add.at(sums, nearest, sample)
+        count = np.bincount(nearest, minlength=len(means))
+        means = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], means)
+    return Centroids(unit(means + 1e-12), settings.degree)
+
+
+def _assigned(rows: DataFrame, centroids, most: int, ratio: float) -> DataFrame:
+    """(list, id, v): each row once for every list within the ratio of its nearest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                v = part.column("v")
+                q = unit(v.flatten().to_numpy().reshape(part.num_rows, -1))
+                lists, gap = centroids.value.search(q, most)
+                keep = gap <= gap[:, :1] * ratio**2 + 1e-12
+                r, k = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[r, k].astype(np.int32)), part.column("id").take(pa.array(r)), v.take(pa.array(r))], names=["list", "id", "v"])
+
+    return rows.mapInArrow(run, "list int, id long, v array<double>")
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one block for each query (its own id left out), exact cosines, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    out = []
+    for at in range(0, len(queries), 64):
+        scores = np.clip(np.einsum("qd,nd->qn", queries[at : at + 64], vectors), -1.0, 1.0)
+        scores[query_ids[at : at + 64, None] == ids[None, :]] = -np.inf
+        for q, row in zip(query_ids[at : at + 64], scores, strict=True):
+            least = -np.partition(-row, k - 1)[k - 1] if len(row) > k else -np.inf
+            at_least = np.flatnonzero(row >= least)
+            top = at_least[np.argsort(-row[at_least], kind="stable")[:k]]
+            out += [(q, ids[i], row[i]) for i in top if np.isfinite(row[i])]
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def _met(queries: DataFrame, lists: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Queries and candidates that share ``by``, scored block by block."""
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return best(left["id"].to_numpy(), unit(np.stack(left["v"].to_numpy())), right["id"].to_numpy(), unit(np.stack(right["v"].to_numpy())), k)
+
+    queries = queries.toDF(*[f"q_{c}" for c in queries.columns]).select(*[F.col(f"q_{c}").alias(c) for c in queries.columns])  # may stem from the same rows
+    return queries.groupBy(*by).cogroup(lists.groupBy(*by)).applyInPandas(score, _HIT)
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best distinct (candidate, score) of each query; a query has k rows of each list it probed at most."""
     ordered = hits.distinct().groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
