@@ -39,7 +39,7 @@ PENALTY = 16.0
 UNKNOWN = "und"
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_HELD = 500_000  # distinct entries a task counts or remembers at once
+_HELD = 250_000  # distinct entries a task counts or remembers at once
 
 
 def words_in(text: str) -> list[str]:
