@@ -77,19 +77,19 @@ def _number(key: bytes, tweak: str, n: int, v: int, back: bool) -> int:
             return v
 
 
-def successor(key: bytes, tweak: str, n: int, v: int, ok: Callable[[int], bool] = lambda v: True) -> int:
-    """The next value after v, among those that are ``ok``, in a keyed cyclic order of 0..n-1."""
-    at = _number(key, tweak, n, v, True)
+def successor(key: bytes, tweak: str, n: int, v: int, group: Callable[[int], object] = lambda v: True) -> int:
+    """The next value after v, among those of v's own ``group``, in a keyed cyclic order of 0..n-1: one-to-one for every v."""
+    at, own = _number(key, tweak, n, v, True), group(v)
     for _ in range(n):
         at = (at + 1) % n
         found = _number(key, tweak, n, at, False)
-        if ok(found):
+        if group(found) == own:
             return found
     return v
 
 
-def reform(key: bytes, kind: str, value: str, ok: Callable[[str], bool] = lambda s: True) -> str:
-    """A value of the same form: every character of a class becomes another of that class; the rest, and case, stay."""
+def reform(key: bytes, kind: str, value: str, group: Callable[[str], object] = lambda s: True) -> str:
+    """A value of the same form and ``group``: every character of a class becomes another of that class; the rest, and case, stay."""
     low = [c.lower() if len(c.lower()) == 1 else c for c in value]
     classes = [_CLASS_OF.get(c) for c in low]
     shape = "".join(str(CLASSES.index(k)) if k else c for c, k in zip(low, classes, strict=True))
@@ -109,7 +109,7 @@ def reform(key: bytes, kind: str, value: str, ok: Callable[[str], bool] = lambda
             out.append(c)
         return "".join(reversed(out))
 
-    new = spell(successor(key, f"{kind}|{shape}", n, v, lambda x: ok(spell(x))))
+    new = spell(successor(key, f"{kind}|{shape}", n, v, lambda x: group(spell(x))))
     return "".join(c.upper() if old != old.lower() else c for c, old in zip(new, value, strict=True))
 
 
@@ -152,7 +152,7 @@ def _is_iban(value: str) -> bool:
 
 def _ip(key: bytes, value: str) -> str:
     v = int(ipaddress.IPv4Address(value))
-    for net in map(ipaddress.IPv4Network, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8")):
+    for net in map(ipaddress.IPv4Network, ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "0.0.0.0/8", "224.0.0.0/4", "240.0.0.0/4")):
         if ipaddress.IPv4Address(v) in net:
             base = int(net.network_address)
             return str(ipaddress.IPv4Address(base + successor(key, f"ip{base}", net.num_addresses, v - base)))
@@ -167,7 +167,7 @@ def _public(v: int) -> bool:
 def _phone(key: bytes, value: str) -> str:
     d = re.sub(r"\D", "", value)
     if len(d) == 11 and d[0] == "1" or len(d) == 10 and not value.startswith("+"):  # +1 is understood where it is left out
-        return _refill(value, d[:-10] + reform(key, "phone1", d[-10:], lambda s: s[0] > "1" and s[3] > "1"))
+        return _refill(value, d[:-10] + reform(key, "phone1", d[-10:], lambda s: (s[0] > "1", s[3] > "1")))
     return _refill(value, d[:2] + reform(key, f"phone{d[:2]}", d[2:]))
 
 

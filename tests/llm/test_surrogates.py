@@ -64,3 +64,31 @@ def test_collision_check_finds_collisions(spark):
                                   "kind string, value string, surrogate string")
     assert sorted(tuple(r) for r in S.collisions(table).collect()) == [("email", "q"), ("ip", "x"), ("ssn", "z")]
     assert S.collisions(S.entity_table(docs(spark, [(1, TEXT), (2, TEXT.lower()), (3, None)]))).count() == 0
+
+
+def test_every_group_of_values_is_permuted_in_itself():
+    for n in (7, 40, 200):
+        groups = (lambda v: v % 3 > 0), (lambda v: v < n // 2), (lambda v: (v % 2, v % 5 > 1)), (lambda v: v > 1)
+        for group in groups:
+            to = [S.successor(b"k", "t", n, v, group) for v in range(n)]
+            assert sorted(to) == list(range(n)) and all(group(a) == group(b) for a, b in enumerate(to))
+    to = {f"{i:03d}": S.reform(b"k", "code", f"{i:03d}", lambda s: s[0] > "1") for i in range(1000)}
+    assert sorted(to.values()) == sorted(to) and all((a[0] > "1") == (b[0] > "1") and a != b for a, b in to.items())
+
+
+def test_unusual_phones_and_addresses_do_not_meet_the_usual_ones():
+    # What stood before a usual value in the cycle, however unusual, had that value's surrogate.
+    def before(tweak, n, v):
+        return S._number(S.KEY, tweak, n, (S._number(S.KEY, tweak, n, v, True) - 1) % n, False)
+
+    ips, phones = [], []
+    for k in range(200):
+        for v in (k << 24 | 4711 + k, 8 << 24 | 4711 * k):
+            ips += [v, before("ip", 1 << 32, v)]
+        v = 2_125_551_000 + k
+        phones += [v, before("phone1|000-000-0000".replace("-", ""), 10**10, v)]
+    assert any(v >> 24 == 0 or v >> 24 > 223 for v in ips) and any(str(v).zfill(10)[0] < "2" for v in phones)
+    for kind, values in (("ip", {str(S.ipaddress.IPv4Address(v)) for v in ips}), ("phone", {f"+1 ({v[:3]}) {v[3:6]}-{v[6:]}" for v in (str(p).zfill(10) for p in phones)})):
+        new = {S.surrogate(S.KEY, kind, v) for v in values}
+        assert len(new) == len(values) and not any(S.surrogate(S.KEY, kind, v) == v for v in values)
+        assert all(S.entities(v)[0][2] == kind for v in new)
