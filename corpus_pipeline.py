@@ -17,6 +17,8 @@ from plumbline.llm.surrogates import pseudonymise
 from plumbline.plans.registry import table
 from plumbline.session import scratch_path
 
+#: Near copies share this percentage of their shingles of so many words; op9_jaccard_join has a rule of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A text whose best language has less than even odds against all others is rejected.
 LEAST_SCORE = 0.5
 
@@ -27,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that repeat an id, one."""
-    found = jaccard_components(docs)
+    """Of each group of linked documents (at least 80 percent of their five-word shingles in common) the one with the smallest id stays; of rows that repeat an id, one."""
+    found = jaccard_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     leaders = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(leaders, "doc_id", "left_semi").select(*docs.columns)
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"]))

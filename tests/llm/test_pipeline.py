@@ -1,12 +1,13 @@
 """The stages on a small corpus with planted cases, and the registered queries on given tables."""
 
+import random
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as pipeline
-from cases import docs
+from cases import docs, prose
 
 import __spark_entry__ as entry
 
@@ -35,6 +36,32 @@ def test_stages(spark, tmp_path):
     assert "jane" not in spark.read.parquet(str(tmp_path / "surrogates")).where("doc_id = 7").first().text
 
 
+def test_near_copies_by_five_words_and_80_percent(spark):
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(7)
+    texts = []
+    for base in (prose(rng, n, 10**6).split() for n in (50, 50, 60, 120, 400)):
+        texts.append(base)
+        for changes in (1, 1, 2, 3, 4, 8):  # before the last copy or the base: chains occur, too
+            texts.append(copy := list(rng.choice([base, texts[-1]])))
+            for at in rng.sample(range(5, len(copy) - 5), changes):
+                copy[at] = f"v{rng.randrange(10**6)}"
+    texts += [texts[0][:3], texts[0][:4], texts[0][:3], prose(rng, 50, 10**6).split()]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets, least = [shingles(t) for _, t in rows], list(range(len(rows)))
+    near = [(i, j, len(a & b), len(a | b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
+    for _ in rows:
+        for i, j, both, either in near:
+            if 100 * both >= 80 * either:
+                least[i] = least[j] = min(least[i], least[j])
+    want = [i for i, k in enumerate(least) if i == k]
+    got = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs(spark, rows), "").collect())
+    assert got == want and {i for i, j, both, either in near if either == 51 and both == 41}
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
