@@ -69,11 +69,10 @@ class Element:
 def parse(page: str) -> Element:
     """The page's tree; text nodes are strings with character references resolved."""
     stack = [Element("#root")]
-    at, raw_end = 0, 0
-    for m in _TOKEN.finditer(page):
-        at = m.start()
-        if at < raw_end:
-            continue
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
         end, tag = m[1], m[2] or m[4]
         if end:
             _close(stack, end.lower())
@@ -83,10 +82,10 @@ def parse(page: str) -> Element:
             node = Element(tag, (m[3] or m[5] or "").strip())
             stack[-1].children.append(node)
             if tag in _RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, m.end())
-                raw_end = close.start() if close else len(page)
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                at = close.start() if close else len(page)
                 if tag == "textarea":
-                    node.children.append(html.unescape(page[m.end() : raw_end]))
+                    node.children.append(html.unescape(page[m.end() : at]))
                 if close:
                     stack.append(node)
             elif tag not in _VOID and not node.attributes.endswith("/") and len(stack) < DEPTH:

@@ -35,6 +35,15 @@ def test_rows(spark):
     assert extract_text(pages.limit(0)).collect() == []
 
 
+def test_markup_inside_raw_elements_hides_nothing_after_them():
+    for page, want in (
+        ("<script>for(i=0;i<n;i++)f()</script><p>text</p>", "text"), ("a<script>if(x<!--y)f()</script>b<!--c-->d", "abd"), ("<style>a<b{}</style><p>text</p><div>more</div>", "text\n\nmore"),
+        ("<style><!-- p{} </style>text", "text"), ("<script>s='<a href=\"x'</SCRIPT >text<script>t(a<b)</script> more", "text more"), ("<title>a<b</title>text", "text"),
+        ("<textarea>a<b</textarea>text", "a<btext"), ("<script><!-- never closed <p>no", ""), ("<div><script>a</b<c</script>in</div>out", "in\nout"),
+    ):
+        assert render(page) == want, page
+
+
 class Visible(HTMLParser):
     def __init__(self):
         super().__init__()
