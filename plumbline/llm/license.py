@@ -62,7 +62,8 @@ def scan(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOL
     bounds = known.agg(F.count("*").alias("k"), F.min("m").alias("low"), F.max("m").alias("high")).first()
     if bounds["k"] > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates: scan with parts of them")
-    reach = threshold / (2 - threshold)
+    # A little wider than the exact bounds, whose floats can be too large by their last bit.
+    reach = threshold / (2 - threshold) * (1 - 1e-9)
     low, high = (bounds["low"] or 1) * reach, (bounds["high"] or 0) / reach
     text = documents[text_col].cast("string")
     # Generators keep what they make: words and bigrams are made once, whatever is asked of them afterwards.
@@ -77,7 +78,8 @@ def scan(documents: DataFrame, templates: DataFrame, threshold: float = THRESHOL
     found = passages.select("id", "passage", F.explode(F.array(bigrams(F.col("w")))).alias("b")).withColumn("n", F.size("b")).where(F.col("n").between(low, high))
     parts = F.broadcast(known.select("template_id", "license", "m", F.explode("b").alias("bigram")))
     terms = found.select("id", F.xxhash64("passage").alias("p"), F.xxhash64(F.lit(1), F.col("passage")).alias("q"), "n", F.explode("b").alias("bigram"))
-    within = (F.col("m") >= F.col("n") * reach) & (F.col("n") >= F.col("m") * reach)
+    # The largest coefficient the sizes allow, computed as the coefficient itself is: at the border both round alike.
+    within = 2 * F.least("n", "m") / (F.col("n") + F.col("m")) >= threshold
     shared = terms.join(parts, "bigram").where(within).groupBy("id", "p", "q", "n", "template_id", "license", "m").agg(
         F.count_distinct("bigram").alias("c"))
     dice = shared.withColumn("dice", 2 * F.col("c") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold)

@@ -33,3 +33,17 @@ def test_scan_equals_brute_force(spark):
 def test_empty_tables(spark):
     assert scan(docs(spark, []), template_table(spark)).collect() == []
     assert scan(docs(spark, [(1, "All rights reserved.")]), template_table(spark).limit(0)).collect() == []
+
+
+def test_pairs_at_the_border_are_found(spark):
+    at = {t: len(pairs(t)) for _, t in TEMPLATES}
+    texts = [f"{t} {' '.join(f'x{i}' for i in range(m // 2))}" for t, m in at.items()]  # dice 2m / (m + 1.5m) for even m
+    texts += [" ".join(ALNUM.findall(lower(t))[: -(m // 3)]) for t, m in at.items() if m % 3 == 0]  # two thirds of the template
+    rows = list(enumerate(texts))
+    got = sorted((str(r.id), r.license, r.dice, r.n_passages) for r in scan(docs(spark, rows), template_table(spark)).collect())
+    assert got == brute(rows) and sum(r[2] == 0.8 for r in got) >= 3
+    made = spark.createDataFrame([(m, str(m), " ".join(f"t{m}x{i}" for i in range(m + 1))) for m in range(2, 41)], "template_id int, license string, template string")
+    rows = [(m, " ".join(f"t{m}x{i}" for i in range(m + 1)) + " " + " ".join(f"y{i}" for i in range(m // 2))) for m in range(2, 41, 2)]
+    rows += [(100 + m, " ".join(f"t{m}x{i}" for i in range(m * 2 // 3 + 1))) for m in range(3, 41, 3)]
+    got = {r.id: r.dice for r in scan(docs(spark, rows), made).collect()}
+    assert got == dict.fromkeys([r[0] for r in rows], 0.8)
