@@ -64,8 +64,8 @@ class Words:
     ends: np.ndarray
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
-    """Words of the texts whose joined UTF-8 bytes are ``raw``; A-Z count as a-z."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, fold: bool = True) -> Words:
+    """Words of the texts whose joined UTF-8 bytes are ``raw``; A-Z count as a-z if ``fold``."""
     inside = member[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True  # a text's end ends its last word
@@ -85,7 +85,8 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Words:
     while at < len(starts):  # pieces of whole words, so that memory follows PIECE and not the longest text
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
-        piece = _LOWER[raw[base : ends[to - 1]]].astype(np.uint64) + np.uint64(1)
+        piece = raw[base : ends[to - 1]]
+        piece = (_LOWER[piece] if fold else piece).astype(np.uint64) + np.uint64(1)
         up, down = _powers(_BASE, _pow2(len(piece)))
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(piece * up[: len(piece)], out=sums[1:])
