@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
-from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Collection, Iterable, Mapping
+from dataclasses import dataclass, field
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from plumbline.functions import fixed
 from plumbline.operators.audit import cap_rows
 
 
+T = TypeVar("T")
+
+
 class QueryRejected(ValueError):
     """The query is not allowed; nothing was executed."""
 
@@ -28,12 +33,101 @@ class Relation:
 
 # Functions of the engine that reach outside of the data.
 _OUTSIDE = ("reflect", "java_method", "try_reflect")
-_CALL = re.compile(r"`?\b(\w+)\b`?\s*\(")
-_CATALOG_NAME = re.compile(r"SubqueryAlias (\w+(?:\.\w+)+)")
+# Leaves that hold no data but what the text itself spells out, or stand for a part of the plan that is walked anyway.
+_OWN_LEAVES = ("OneRowRelation", "LocalRelation", "CTERelationRef", "UnresolvedInlineTable", "ResolvedInlineTable", "OuterReference")
+_SUBQUERIES = ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+
+
+@dataclass
+class Findings:
+    """What a plan is made of, outside of the scoped views."""
+
+    relations: list[str] = field(default_factory=list)  # scoped views, in the order they are met
+    foreign: list[str] = field(default_factory=list)  # any other source of rows
+    unconditional: int = 0  # joins of scoped views without a condition
+    functions: list[str] = field(default_factory=list)
+    table_functions: list[str] = field(default_factory=list)
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _name(parts) -> str:
+    return ".".join(str(p) for p in _items(parts))
+
+
+def _below(node) -> list:
+    """Plans below a plan node: children, definitions of common tables, and subqueries within its expressions."""
+    plans = _items(node.children())
+    if _kind(node) == "UnresolvedWith":
+        plans += [pair._2() for pair in _items(node.cteRelations())]
+    return plans
+
+
+def _walk_expressions(node, found: Findings, walk: Callable) -> None:
+    pending = _items(node.expressions())
+    while pending:
+        expression = pending.pop()
+        if _kind(expression) == "UnresolvedFunction":
+            found.functions.append(_name(expression.nameParts()).lower())
+        if _kind(expression) in _SUBQUERIES:
+            walk(expression.plan())
+        pending += _items(expression.children())
 
 
-def _plan(df: DataFrame):
-    return df._jdf.queryExecution().analyzed()
+def parsed_findings(plan) -> Findings:
+    """Functions and table functions as written; texts inside literals are none."""
+    found = Findings()
+
+    def walk(node) -> None:
+        if _kind(node) == "UnresolvedTableValuedFunction":
+            found.table_functions.append(_name(node.name()).lower())
+        _walk_expressions(node, found, walk)
+        for child in _below(node):
+            walk(child)
+
+    walk(plan)
+    return found
+
+
+def analysed_findings(plan, scope: Collection[str]) -> Findings:
+    """Which scoped views the resolved plan really reads, what else it reads, and how they are joined.
+
+    A name counts only as what the analyser made of it: a common table or an alias named like a scoped relation is no such relation. What a
+    scoped view itself reads is not looked at.
+    """
+    found = Findings()
+
+    def walk(node) -> bool:
+        """Whether scoped views are read below."""
+        kind = _kind(node)
+        if kind == "View":
+            identifier = node.desc().identifier()
+            name = identifier.table().lower()
+            if node.isTempView() and identifier.database().isEmpty() and name in scope:
+                found.relations.append(name)
+                return True
+            found.foreign.append(identifier.unquotedString())
+            return False
+        _walk_expressions(node, found, walk)
+        sides = [walk(child) for child in _below(node)]
+        if not sides and kind not in _OWN_LEAVES:
+            found.foreign.append(node.nodeName())
+        if kind == "Join" and all(sides) and node.condition().isEmpty():
+            found.unconditional += 1
+        if kind == "LateralJoin" and sides[0] and node.condition().isEmpty():
+            before = len(found.relations)
+            found.unconditional += walk(node.right().plan())
+            del found.relations[before:]  # met among the expressions already
+        return any(sides)
+
+    walk(plan)
+    return found
 
 
 def governed_query(
@@ -45,14 +139,11 @@ def governed_query(
 ) -> DataFrame:
     """Analyse ``sql`` in a session of its own that knows only the scope, and cap the result.
 
-    The text is wrapped in a subquery, so writes, commands and second statements do not parse. Hidden
-    columns do not exist for the query, not even for ``*``, unless allowed by name. Without
-    ``max_rows`` the result is meant to be written, not fetched, and no cap gathers it.
+    The text is wrapped in a subquery, so writes, commands and second statements do not parse. What it may do is decided on the plans that
+    the engine makes of it, node by node: functions on the parsed one, relations and joins on the analysed one. Hidden columns do not exist
+    for the query, not even for ``*``, unless allowed by name. Without ``max_rows`` the result is meant to be written, not fetched, and no
+    cap gathers it.
     """
-    calls = {name.lower() for name in _CALL.findall(sql)}
-    banned = sorted(calls & {*fixed.FORBIDDEN_FUNCTIONS, *_OUTSIDE})
-    if banned:
-        raise QueryRejected(f"Function '{banned[0]}' is forbidden")
     if not scope:
         raise QueryRejected("An empty scope allows no query")
     session = spark.newSession()
@@ -60,32 +151,40 @@ def governed_query(
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     session.conf.set("spark.sql.crossJoin.enabled", "false")
+    text = f"select * from (\n{sql}\n)"
+    try:
+        parsed = parsed_findings(session._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    except Py4JJavaError as exc:
+        raise QueryRejected(str(exc.java_exception.getMessage()).strip().splitlines()[0]) from exc
+    except ParseException as exc:
+        raise QueryRejected(str(exc).strip().splitlines()[0]) from exc
+    for name in parsed.functions:
+        if name in fixed.FORBIDDEN_FUNCTIONS or name in _OUTSIDE:
+            raise QueryRejected(f"Function '{name}' is forbidden")
+    for name in parsed.table_functions:
+        raise QueryRejected(f"Table function '{name}' is not in scope")
     permitted = {name.lower() for name in allow}
-    backing: set[str] = set()
     for name, relation in scope.items():
         df = relation.load(session)
         hidden = {h.lower() for h in relation.hidden} - permitted
-        visible = df.select(*[c for c in df.columns if c.lower() not in hidden])
-        backing |= set(_CATALOG_NAME.findall(_plan(visible).toString()))
-        visible.createTempView(name)
+        df.select(*[c for c in df.columns if c.lower() not in hidden]).createTempView(name)
     try:
-        result = session.sql(f"select * from (\n{sql}\n)")
+        result = session.sql(text)
     except Exception as exc:
         raise QueryRejected(str(exc).splitlines()[0]) from exc
-    plan = _plan(result)
-    outside = set(_CATALOG_NAME.findall(plan.toString())) - backing
-    if outside:
-        raise QueryRejected(f"Relation '{sorted(outside)[0]}' is not in scope")
-    names = {name.lower() for name in scope}
-    aliases = {a.lower() for a in re.findall(r"SubqueryAlias `?(\w+)`?", plan.toString())}
-    if not aliases & names:
+    found = analysed_findings(result._jdf.queryExecution().analyzed(), {name.lower() for name in scope})
+    if found.foreign:
+        raise QueryRejected(f"Relation '{found.foreign[0]}' is not in scope")
+    if not found.relations:
         raise QueryRejected("SQL must query at least one relation of the scope")
+    if found.unconditional:
+        raise QueryRejected("Every join of relations requires a join condition")
     return result if max_rows is None else cap_rows(result, max_rows)
 
 
-def fetch(result: DataFrame, timeout_seconds: float) -> list[Row]:
-    """Collect a capped result; when time is up its jobs are cancelled."""
-    session, tag = result.sparkSession, f"governed-{uuid.uuid4().hex}"
+def _within(session: SparkSession, timeout_seconds: float, action: Callable[[], T]) -> T:
+    """Run an action of this thread; when time is up its jobs are cancelled."""
+    tag = f"governed-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def stop() -> None:
@@ -96,7 +195,7 @@ def fetch(result: DataFrame, timeout_seconds: float) -> list[Row]:
     session.addTag(tag)
     timer.start()
     try:
-        return result.collect()
+        return action()
     except Exception as exc:
         if late.is_set():
             raise TimeoutError(f"Query exceeded the {timeout_seconds}s timeout") from exc
@@ -104,3 +203,13 @@ def fetch(result: DataFrame, timeout_seconds: float) -> list[Row]:
     finally:
         timer.cancel()
         session.removeTag(tag)
+
+
+def fetch(result: DataFrame, timeout_seconds: float) -> list[Row]:
+    """Collect a capped result; when time is up its jobs are cancelled."""
+    return _within(result.sparkSession, timeout_seconds, result.collect)
+
+
+def save(result: DataFrame, path: str, timeout_seconds: float) -> None:
+    """Write a result of any size as Parquet; when time is up its jobs are cancelled and nothing is committed."""
+    _within(result.sparkSession, timeout_seconds, lambda: result.write.parquet(path))

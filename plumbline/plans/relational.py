@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.plans.governed import Relation, governed_query
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.plans.governed import QueryRejected, Relation, governed_query
 from plumbline.plans.registry import TABLES, query
 
 
@@ -124,3 +129,43 @@ _NEWEST = "select o_orderkey, o_custkey from orders order by o_orderdate desc, o
 @query("C11_row_cap", f"{_NEWEST} limit 50")
 def c11(spark, sf):
     return governed_query(spark, scope(sf, ["orders"]), f"{_NEWEST} limit 5000", max_rows=50)
+
+
+# Texts and whether a governed query over customer, orders and nation accepts them.
+VERDICTS = {
+    "plain": (True, "select c_custkey, c_name from customer"),
+    "call_in_a_literal": (True, "select c_custkey, 'see read_csv (docs)' as t from customer"),
+    "common_table_over_scope": (True, "with big as (select * from orders where o_totalprice > 300000) select o_orderkey from big"),
+    "common_table_hides_relation": (False, "with customer as (select 5 as z) select * from customer"),
+    "alias_like_relation": (False, "select * from (select 7 as z) customer"),
+    "table_function": (False, "select customer.id from range(3) customer"),
+    "explicit_cross_join": (False, "select c_custkey, n_name from customer cross join nation"),
+    "implicit_cross_join": (False, "select c_custkey, n_name from customer, nation"),
+    "joined": (True, "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey"),
+    "cross_join_of_constants": (True, "select c_custkey, f from customer cross join (values (1), (2)) as v(f)"),
+    "subquery_in_a_filter": (True, "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)"),
+    "out_of_scope_in_a_filter": (False, "select c_custkey from customer where c_custkey in (select s_suppkey from supplier)"),
+    "forbidden_function_in_a_filter": (False, "select c_custkey from customer where reflect('java.lang.Math', 'abs', -1) = '1'"),
+    "hidden_column": (False, "select c_acctbal from customer"),
+    "write": (False, "delete from customer"),
+    "two_statements": (False, "select 1 from customer); drop view customer; select (1"),
+}
+
+
+@query(
+    "C01_verdicts",
+    "\nunion all ".join(
+        f"select '{name}' as name, true as accepted, count(*) as n_rows from ({sql}) t" if accepted
+        else f"select '{name}', false, cast(null as bigint)" for name, (accepted, sql) in VERDICTS.items()),
+)
+def c01_verdicts(spark, sf):
+    """Each text is decided on its plans; what is accepted is counted."""
+    rows = []
+    for name, (_, sql) in VERDICTS.items():
+        try:
+            result = governed_query(spark, scope(sf, ["customer", "orders", "nation"]), sql, max_rows=None)
+        except QueryRejected:
+            rows.append(f"select '{name}' as name, false as accepted, cast(null as bigint) as n_rows")
+            continue
+        rows.append(result.agg(F.lit(name).alias("name"), F.lit(True).alias("accepted"), F.count("*").alias("n_rows")))
+    return reduce(DataFrame.unionAll, [spark.sql(r) if isinstance(r, str) else r for r in rows])
