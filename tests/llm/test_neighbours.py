@@ -1,8 +1,9 @@
 import numpy as np
+import pytest
 
 from plumbline.llm import neighbours as N
 
-SMALL = N.Settings(sample_rows=300, list_rows=30, shard_rows=40, query_rows=7, probes=16)
+SMALL = N.Settings(least_sample=300, list_rows=30, shard_rows=40, query_rows=7, beam=8)
 
 
 def table(spark, rows):
@@ -10,26 +11,56 @@ def table(spark, rows):
 
 
 def exact(rows, every, k):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
-    m = N.unit(np.stack([np.float32(v).astype(float) for _, v in good]))
-    ids = np.array([i for i, _ in good])
-    q = ids % every == 0
-    return {(r.query_id, r.vec_id): r.score for r in N.best(ids[q], m[q], ids, m, k).itertuples()}
-
-
-def test_recall_against_brute_force(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(12, 16))
-    rows = [(i, (centres[i % 12] + 0.5 * rng.normal(size=16)).tolist()) for i in range(900)]
-    rows += [(1000 + i, rows[3][1]) for i in range(200)]  # one frequent vector
-    got = N.nearest_neighbours(table(spark, rows), 50, 5, SMALL).collect()
-    want = exact(rows, 50, 5)
-    assert len({(r.query_id, r.vec_id) for r in got} & set(want)) >= 0.9 * len(want)
-    assert all(abs(want[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in want)
+    """(query, neighbour) -> cosine, by sorting all cosines of every query in plain Python order."""
+    good = [(i, np.array(np.float32(v), float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    m = np.stack([v / np.linalg.norm(v) for _, v in good])
+    out = {}
+    for (i, _), q in zip(good, m, strict=True):
+        if i % every == 0:
+            order = sorted(((-c, j) for (j, _), c in zip(good, m @ q, strict=True) if j != i))[:k]
+            out |= {(i, j): -c for c, j in order}
+    return out
+
+
+def check_order(got, k):
     by: dict = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         by.setdefault(r.query_id, []).append((-r.score, r.vec_id))
-    assert all(len(v) == 5 and v == sorted(v) for v in by.values()) and len(by) == 22
+    assert all(len(v) == k and v == sorted(v) for v in by.values())
+    return len(by)
+
+
+def vectors(kind, n, dims, rng):
+    if kind == "gaussian":
+        return rng.normal(size=(n, dims))
+    centres = rng.normal(size=(n // 20, dims))
+    return centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "gaussian"])
+@pytest.mark.parametrize("settings", [N.Settings(), N.Settings(list_rows=15)])
+def test_recall_against_brute_force(spark, kind, settings):
+    n = 6000  # 60 lists, or 400
+    data = vectors(kind, n, 16, np.random.default_rng(1))
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    got = N.nearest_neighbours(table(spark, rows), 50, 5, settings).collect()
+    want = exact(rows, 50, 5)
+    assert len({(r.query_id, r.vec_id) for r in got} & set(want)) >= 0.9 * len(want)
+    assert all(abs(want[r.query_id, r.vec_id] - r.score) < 1e-9 for r in got if (r.query_id, r.vec_id) in want)
+    assert check_order(got, 5) == n // 50
+
+
+def test_a_frequent_vector_is_split_and_found(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors("clusters", 900, 16, rng))]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]
+    got = N.nearest_neighbours(table(spark, rows), 50, 5, SMALL).collect()
+    want = exact(rows, 50, 5)
+    scores = {}
+    for (q, _), c in want.items():
+        scores.setdefault(q, []).append(round(c, 9))
+    hits = sum(round(r.score, 9) in scores[r.query_id] for r in got)
+    assert hits >= 0.9 * len(want) and check_order(got, 5) == 22
 
 
 def test_ties_few_rows_and_unusable_vectors(spark):
@@ -43,9 +74,12 @@ def test_ties_few_rows_and_unusable_vectors(spark):
 
 def test_graph_search_meets_the_nearest_centroids():
     rng = np.random.default_rng(2)
-    c = N.Centroids(N.unit(rng.normal(size=(400, 8))), 24)
+    c = N.Centroids(N.unit(rng.normal(size=(2000, 8))), 24)
     q = N.unit(rng.normal(size=(50, 8)))
-    found, gap = c.search(q, 10)
-    true = np.argsort(-(q @ c.points.T), axis=1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true)]) > 0.95
+    found, gap = c.search(q, 40)
+    true = np.argsort(-(q @ c.points.T), axis=1)[:, :40]
+    assert np.mean([len(set(a) & set(b)) / 40 for a, b in zip(found, true, strict=True)]) > 0.95
     assert (np.diff(gap, axis=1) >= 0).all()
+    row, lists = c.within(q, N.Reach(3.0, 0.0, 40))  # more than the search keeps: none is cut off
+    reach = 9 * (2 - 2 * (q @ c.points.T).max(1))
+    assert len(lists) == sum((2 - 2 * (q @ c.points.T) <= reach[:, None] + 1e-9).sum(1)) and len(set(zip(row.tolist(), lists.tolist(), strict=True))) == len(lists)
