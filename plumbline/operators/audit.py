@@ -2,12 +2,12 @@
 
 Facts, all keyed by ``query_id``:
 ``statements(ord, depth, kind)``, ``functions(ord, name)``,
-``relations(ord, agent, ref, alias, is_cte)``, ``joins(ord, has_on, has_using)``,
+``relations(ord, agent, manifest_digest, ref, alias, is_cte)``, ``joins(ord, has_on, has_using)``,
 ``columns(ord, qualifier, name)``, ``derived(alias, column_name)`` for CTEs and derived tables, and
 ``select_aliases(name)``.
 
-Each check yields failures ``(query_id, ordinal, check, message)``, one row per finding; ``audit`` keeps
-the first per query.
+Each check yields failures ``(query_id, ordinal, pos, check, message)``, one row per finding: ``ordinal`` is the place of the check, ``pos``
+where in the query it was met. ``audit`` keeps the first per query.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ CHECKS = (
 )
 
 
-def _failures(df: DataFrame, check: str, message: Column, step: Column | int = 0) -> DataFrame:
-    step = step if isinstance(step, Column) else F.lit(step)
+def _failures(df: DataFrame, check: str, message: Column, pos: Column | int = 0) -> DataFrame:
     return df.select(
         "query_id",
-        (F.lit(CHECKS.index(check) * 10) + step).alias("ordinal"),
+        F.lit(CHECKS.index(check)).alias("ordinal"),
+        (pos if isinstance(pos, Column) else F.lit(pos)).cast("long").alias("pos"),
         F.lit(check).alias("check"),
         message.alias("message"),
     )
@@ -57,9 +57,9 @@ def audit_read_only(statements: DataFrame) -> DataFrame:
 
 
 def audit_functions(functions: DataFrame) -> DataFrame:
-    bad = functions.where(F.lower("name").isin(*fixed.FORBIDDEN_FUNCTIONS)).select("query_id", "name").distinct()
+    bad = functions.where(F.lower("name").isin(*fixed.FORBIDDEN_FUNCTIONS)).groupBy("query_id", "name").agg(F.min("ord").alias("ord"))
     return _failures(
-        bad, "forbidden_functions", F.concat(F.lit("Function '"), "name", F.lit("' is forbidden"))
+        bad, "forbidden_functions", F.concat(F.lit("Function '"), "name", F.lit("' is forbidden")), F.col("ord")
     )
 
 
@@ -74,11 +74,12 @@ def audit_scope(queries: DataFrame, resolved: DataFrame) -> DataFrame:
 
     ``resolved`` are base relations with ``status`` from ``resolve_relations``.
     """
-    bad = resolved.where(F.col("status") != "resolved").select("query_id", "ref", "status").distinct()
+    bad = resolved.where(F.col("status") != "resolved").groupBy("query_id", "ref", "status").agg(F.min("ord").alias("ord"))
     ambiguous = F.col("status") == "ambiguous"
     found = bad.select(
         "query_id",
-        F.lit(CHECKS.index("resources_in_scope") * 10).alias("ordinal"),
+        F.lit(CHECKS.index("resources_in_scope")).alias("ordinal"),
+        F.col("ord").cast("long").alias("pos"),
         F.when(ambiguous, "relations_unambiguous").otherwise("resources_in_scope").alias("check"),
         F.concat(
             F.lit("Relation '"),
@@ -94,21 +95,21 @@ def audit_scope(queries: DataFrame, resolved: DataFrame) -> DataFrame:
             idle,
             "resources_in_scope",
             F.lit("SQL must query at least one manifest-backed relation"),
-            1,
         )
     )
 
 
 def query_usage(resolved: DataFrame) -> DataFrame:
-    """Used resources per query and alias: ``(query_id, alias, unique_id)``; the last of two like aliases counts."""
+    """Used resources per query and alias: ``(query_id, alias, manifest_digest, unique_id)``; the last of two like aliases counts."""
     used = resolved.where(F.col("status") == "resolved")
     return used.groupBy("query_id", F.lower("alias").alias("alias")).agg(
-        F.max_by("unique_id", "ord").alias("unique_id")
+        F.max("manifest_digest").alias("manifest_digest"), F.max_by("unique_id", "ord").alias("unique_id")
     )
 
 
 def used_resources(resolved: DataFrame) -> DataFrame:
-    return resolved.where(F.col("status") == "resolved").select("query_id", "unique_id").distinct()
+    """``(query_id, manifest_digest, unique_id, ord)``: each resource once, with the place where the query first names it."""
+    return resolved.where(F.col("status") == "resolved").groupBy("query_id", "manifest_digest", "unique_id").agg(F.min("ord").alias("ord"))
 
 
 def audit_joins(used: DataFrame, joins: DataFrame) -> DataFrame:
@@ -156,9 +157,13 @@ def resolve_columns(
         "query_id", F.lower("alias").alias("alias"), F.lower("column_name").alias("folded")
     ).distinct()
     derived_aliases = derived_columns.select("query_id", "alias", F.lit(True).alias("is_derived")).distinct()
-    known = resource_columns.select("unique_id", F.lower("column_name").alias("folded")).distinct()
+    resource = ["manifest_digest", "unique_id"]
+    known = resource_columns.select(*resource, F.lower("column_name").alias("folded")).distinct()
+    # only names that a query looks up anywhere are met with its resources
+    loose = refs.join(usage, ["query_id", "alias"], "left_anti").select("query_id", "folded").distinct()
     anywhere = (
-        used.join(known, "unique_id")
+        loose.join(used.drop("ord"), "query_id")
+        .join(known, [*resource, "folded"], "left_semi")
         .groupBy("query_id", "folded")
         .agg(F.count("*").alias("n_anywhere"))
     )
@@ -166,7 +171,7 @@ def resolve_columns(
         refs.join(derived_aliases, ["query_id", "alias"], "left")
         .join(derived_columns.withColumn("in_derived", F.lit(True)), ["query_id", "alias", "folded"], "left")
         .join(usage, ["query_id", "alias"], "left")
-        .join(known.withColumn("on_alias", F.lit(True)), ["unique_id", "folded"], "left")
+        .join(known.withColumn("on_alias", F.lit(True)), [*resource, "folded"], "left")
         .join(anywhere, ["query_id", "folded"], "left")
         .join(
             select_aliases.select("query_id", "name", F.lit(True).alias("is_alias")).distinct(),
@@ -213,7 +218,7 @@ def audit_columns(resolved_columns: DataFrame) -> DataFrame:
         )
     )
     bad = resolved_columns.withColumn("message", message).where(F.col("message").isNotNull())
-    return _failures(bad.select("query_id", "message").distinct(), "columns_exist", F.col("message"))
+    return _failures(bad.groupBy("query_id", "message").agg(F.min("ord").alias("ord")), "columns_exist", F.col("message"), F.col("ord"))
 
 
 def used_columns(resolved_columns: DataFrame) -> DataFrame:
@@ -224,14 +229,16 @@ def used_columns(resolved_columns: DataFrame) -> DataFrame:
 def audit_sensitive_models(
     used: DataFrame, queries: DataFrame, resources: DataFrame, allow: DataFrame
 ) -> DataFrame:
-    """Sensitive resources need their id in the agent's ``allow(agent, item)``."""
-    flagged = resources.where(_is_true("meta", "sensitive")).select("unique_id")
-    hit = used.join(flagged, "unique_id").join(queries.select("query_id", "agent"), "query_id")
+    """Sensitive resources need their id in the agent's ``allow(agent, item)``. Resources count in the order of their first use."""
+    resource = ["manifest_digest", "unique_id"]
+    flagged = resources.where(_is_true("meta", "sensitive")).select(*resource)
+    hit = used.join(flagged, resource).join(queries.select("query_id", "agent"), "query_id")
     bad = hit.join(allow.select("agent", F.col("item").alias("unique_id")), ["agent", "unique_id"], "left_anti")
     return _failures(
         bad,
         "sensitive_access",
         F.concat(F.lit("Sensitive model '"), "unique_id", F.lit("' requires explicit permission")),
+        2 * F.col("ord"),
     )
 
 
@@ -244,35 +251,37 @@ def _is_true(meta: str, key: str) -> Column:
 
 
 def sensitive_columns(resources: DataFrame, columns: DataFrame) -> DataFrame:
-    """``(unique_id, column_name)``: listed by the resource or flagged on the column."""
+    """``(manifest_digest, unique_id, column_name)``: listed by the resource or flagged on the column."""
     listed = resources.select(
+        "manifest_digest",
         "unique_id",
         F.explode(
             F.try_variant_get(F.try_element_at("meta", F.lit("sensitive_columns")), "$", "array<string>")
         ).alias("column_name"),
     )
-    flagged = columns.where(_is_true("meta", "sensitive")).select("unique_id", "column_name")
+    flagged = columns.where(_is_true("meta", "sensitive")).select("manifest_digest", "unique_id", "column_name")
     return listed.unionByName(flagged).distinct()
 
 
 def audit_sensitive_columns(
     used: DataFrame, names: DataFrame, queries: DataFrame, sensitive: DataFrame, allow: DataFrame
 ) -> DataFrame:
-    """Used names that are sensitive on a used resource and not allowed to the agent, ignoring case."""
-    s = sensitive.select("unique_id", F.lower("column_name").alias("folded")).distinct()
-    watched = used.join(s, "unique_id").select("query_id", "folded").distinct()
+    """Used names that are sensitive on a used resource and not allowed to the agent, ignoring case: one failure per resource names them all."""
+    s = sensitive.select("manifest_digest", "unique_id", F.lower("column_name").alias("folded")).distinct()
+    watched = used.join(s, ["manifest_digest", "unique_id"]).select("query_id", "unique_id", "ord", "folded")
     hit = (
-        names.withColumn("folded", F.lower("name"))
+        names.select("query_id", "name", F.lower("name").alias("folded"))
         .join(watched, ["query_id", "folded"])
         .join(queries.select("query_id", "agent"), "query_id")
     )
     permitted = allow.select("agent", F.lower("item").alias("folded")).distinct()
-    bad = hit.join(permitted, ["agent", "folded"], "left_anti").select("query_id", "name").distinct()
+    bad = hit.join(permitted, ["agent", "folded"], "left_anti").groupBy("query_id", "unique_id", "ord").agg(
+        F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("denied"))  # as many as the query names
     return _failures(
         bad,
         "sensitive_access",
-        F.concat(F.lit("Sensitive columns require explicit permission: "), "name"),
-        1,
+        F.concat(F.lit("Sensitive columns require explicit permission: "), "denied"),
+        2 * F.col("ord") + 1,
     )
 
 
@@ -284,12 +293,12 @@ def cap_rows(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def audit(queries: DataFrame, *failures: DataFrame) -> DataFrame:
-    """Verdict per query ``(query_id, passed, failed_check, message)``: the first failed check decides."""
+    """Verdict per query ``(query_id, passed, failed_check, message)``: the first failed check decides, and within it the first place."""
     found = failures[0]
     for part in failures[1:]:
         found = found.unionByName(part)
     first = found.groupBy("query_id").agg(
-        F.min_by(F.struct("check", "message"), F.struct("ordinal", "message")).alias("f")
+        F.min_by(F.struct("check", "message"), F.struct("ordinal", "pos", "message")).alias("f")
     )
     return queries.select("query_id").join(first, "query_id", "left").select(
         "query_id",
@@ -316,10 +325,10 @@ def guard_questions(questions: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def render_refs(templates: DataFrame, resources: DataFrame) -> DataFrame:
-    """Replace template references by relation names: ``(template_id, rendered, problem)``.
+    """Replace template references by relation names: ``(template_id, manifest_digest, rendered, problem)``.
 
-    ``templates(template_id, text)``. A name must belong to exactly one queryable resource, and no
-    other template syntax may remain.
+    ``templates(template_id, manifest_digest, text)``. A name must belong to exactly one queryable resource of the
+    snapshot, and no other template syntax may remain.
     """
     none = F.lit("")
     relation = F.coalesce(
@@ -327,22 +336,23 @@ def render_refs(templates: DataFrame, resources: DataFrame) -> DataFrame:
     )
     targets = (
         resources.where("queryable")
-        .groupBy(F.col("name").alias("ref"))
+        .groupBy("manifest_digest", F.col("name").alias("ref"))
         .agg(F.count("*").alias("n"), F.min(relation).alias("relation"))
     )
     pieces = F.split("text", fixed.REF_CALL)
     names = F.regexp_extract_all("text", F.lit(fixed.REF_CALL), F.lit(1))
+    key = ["template_id", "manifest_digest"]
     rows = templates.select(
-        "template_id",
+        *key,
         F.posexplode(F.zip_with(pieces, names, lambda p, n: F.struct(p.alias("piece"), n.alias("ref")))).alias(
             "pos", "z"
         ),
-    ).select("template_id", "pos", "z.piece", "z.ref")
-    met = rows.join(targets, "ref", "left")
+    ).select(*key, "pos", "z.piece", "z.ref")
+    met = rows.join(targets, ["manifest_digest", "ref"], "left")
     lone = F.col("ref").isNull() | F.coalesce(F.col("n") == 1, F.lit(False))
     text = F.concat(F.coalesce("piece", none), F.coalesce(F.when(F.col("ref").isNotNull(), F.col("relation")), none))
     return (
-        met.groupBy("template_id")
+        met.groupBy(*key)
         .agg(
             # as many parts as the template's own text has
             F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))).alias("parts"),
@@ -350,7 +360,7 @@ def render_refs(templates: DataFrame, resources: DataFrame) -> DataFrame:
             F.min_by("ref", F.when(~lone, F.col("pos"))).alias("bad_ref"),
         )
         .select(
-            "template_id",
+            *key,
             F.when(F.col("leftover"), "Only ref() is supported in reference queries")
             .when(F.col("bad_ref").isNotNull(), F.concat(F.lit("ref('"), "bad_ref", F.lit("') is ambiguous")))
             .alias("problem"),

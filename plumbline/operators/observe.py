@@ -76,10 +76,11 @@ def usage_report(traces: DataFrame, *keys: str, accuracy: int | None = None) ->
 
 
 def test_health(usage: DataFrame, tests: DataFrame) -> DataFrame:
-    """Tests of the resources a trace used: ``(trace_id, name, status)``; the status where known."""
-    by_resource = tests.select(F.col("target_id").alias("unique_id"), "name", "status").distinct()
-    used = usage.select("trace_id", "unique_id").distinct()
-    return used.join(by_resource, "unique_id").select("trace_id", "name", "status").distinct()
+    """Tests, in the trace's snapshot, of the resources a trace used: ``(trace_id, name, status)``; the status where known."""
+    resource = ["manifest_digest", "unique_id"]
+    by_resource = tests.withColumnRenamed("target_id", "unique_id").select(*resource, "name", "status").distinct()
+    used = usage.select("trace_id", *resource).distinct()
+    return used.join(by_resource, resource).select("trace_id", "name", "status").distinct()
 
 
 def validate_json(df: DataFrame, column: str, schema: dict[str, Any]) -> DataFrame:

@@ -95,22 +95,25 @@ def match_selectors(resources: DataFrame, selectors: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_selectors(resources: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Selectors that are malformed or reach nothing; an exclusion may reach nothing."""
-    keys = resource_keys(resources).select("kind", "value").distinct()
+def unmatched_selectors(resources: DataFrame, selectors: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Selectors that are malformed, or reach nothing in a snapshot of their agent; an exclusion may reach nothing.
+
+    ``snapshots(agent, manifest_digest)``. A malformed selector is so in every snapshot and has no digest.
+    """
+    keys = resource_keys(resources).select("manifest_digest", "kind", "value").distinct()
     parsed = parse_selectors(selectors)
-    bad = parsed.where(F.col("problem").isNotNull()).select("agent", "selector", "problem")
+    bad = parsed.where(F.col("problem").isNotNull()).select("agent", F.lit(None).cast("string").alias("manifest_digest"), "selector", "problem")
     folder = F.concat(F.rtrim("value", F.lit("/")), F.lit("/"))
     forms = F.when(F.col("kind") == "path", F.array(F.col("value"), folder)).otherwise(F.array("value"))
-    good = parsed.where(F.col("problem").isNull() & ~F.col("is_exclude"))
+    good = parsed.where(F.col("problem").isNull() & ~F.col("is_exclude")).join(snapshots.select("agent", "manifest_digest").distinct(), "agent")
     hit = (
-        good.select("agent", "selector", "kind", F.explode(forms).alias("value"))
-        .join(keys, ["kind", "value"], "left_semi")
-        .select("agent", "selector")
+        good.select("agent", "manifest_digest", "selector", "kind", F.explode(forms).alias("value"))
+        .join(keys, ["manifest_digest", "kind", "value"], "left_semi")
+        .select("agent", "manifest_digest", "selector")
     )
     return bad.unionByName(
-        good.join(hit, ["agent", "selector"], "left_anti").select(
-            "agent", "selector", F.lit("matched no queryable resources").alias("problem")
+        good.join(hit, ["agent", "manifest_digest", "selector"], "left_anti").select(
+            "agent", "manifest_digest", "selector", F.lit("matched no queryable resources").alias("problem")
         )
     )
 
@@ -201,7 +204,7 @@ def empty_scopes(agents: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def relation_keys(scopes: DataFrame, resources: DataFrame) -> DataFrame:
-    """Per agent and normalised relation name: how many resources carry it, and one of them."""
+    """Per agent, snapshot and normalised relation name: how many resources carry it, and one of them."""
     names = F.array(
         F.col("name"),
         F.col("alias"),
@@ -212,23 +215,24 @@ def relation_keys(scopes: DataFrame, resources: DataFrame) -> DataFrame:
     named = (
         scopes.select("agent", "manifest_digest", "unique_id")
         .join(resources, ["manifest_digest", "unique_id"])
-        .select("agent", "unique_id", F.explode(F.array_distinct(names)).alias("relation"))
+        .select("agent", "manifest_digest", "unique_id", F.explode(F.array_distinct(names)).alias("relation"))
         .where(F.col("relation") != "")
-        .select("agent", "unique_id", relation_key(F.col("relation")).alias("relation"))
+        .select("agent", "manifest_digest", "unique_id", relation_key(F.col("relation")).alias("relation"))
         .distinct()
     )
-    return named.groupBy("agent", "relation").agg(
+    return named.groupBy("agent", "manifest_digest", "relation").agg(
         F.count("*").alias("n_matches"), F.min("unique_id").alias("unique_id")
     )
 
 
 def resolve_relations(refs: DataFrame, keys: DataFrame) -> DataFrame:
-    """References ``(query_id, ord, agent, ref)`` with ``status`` and, when clear, ``unique_id``.
+    """References ``(query_id, ord, agent, manifest_digest, ref)`` with ``status`` and, when clear, ``unique_id``.
 
-    ``keys`` holds one row per agent and name, so a reference meets at most one row.
+    ``keys`` holds one row per agent, snapshot and name, so a reference meets at most one row. A query from before the first snapshot
+    has no digest, and nothing is in its scope.
     """
     r = refs.withColumn("relation", relation_key(F.col("ref")))
-    return r.join(keys, ["agent", "relation"], "left").select(
+    return r.join(keys, ["agent", "manifest_digest", "relation"], "left").select(
         *[c for c in refs.columns],
         F.when(F.col("n_matches").isNull(), "out_of_scope")
         .when(F.col("n_matches") > 1, "ambiguous")
@@ -280,16 +284,16 @@ def inherit_descriptions(columns: DataFrame, ancestors: DataFrame) -> DataFrame:
 def missing_descriptions(
     scopes: DataFrame, resources: DataFrame, columns: DataFrame, inherited: DataFrame
 ) -> DataFrame:
-    """Undocumented resources and columns per agent: ``(agent, unique_id, column_name)``."""
+    """Undocumented resources and columns per agent and snapshot: ``(agent, manifest_digest, unique_id, column_name)``."""
     key = ["manifest_digest", "unique_id"]
     nodes = resources.where(F.col("description") == "").select(*key, F.lit(None).cast("string").alias("column_name"))
     bare = columns.where(F.col("description") == "").select(*key, "column_name")
     bare = bare.join(inherited, [*key, "column_name"], "left_anti")
-    return scopes.join(nodes.unionByName(bare), key).select("agent", "unique_id", "column_name")
+    return scopes.join(nodes.unionByName(bare), key).select("agent", *key, "column_name")
 
 
 def selector_facets(resources: DataFrame, kind: str) -> DataFrame:
-    """Selectable values of a kind: ``(value, label, n_resources)``."""
+    """Selectable values of a kind: ``(manifest_digest, value, label, n_resources)``."""
     if kind not in fixed.SELECTOR_KINDS:
         raise ValueError(f"Unsupported selector type '{kind}'")
     r = resources.where("queryable")
@@ -312,16 +316,16 @@ def selector_facets(resources: DataFrame, kind: str) -> DataFrame:
         ),
     }[kind]
     values = (
-        own.select(value.alias("value"), label.alias("label"))
+        own.select("manifest_digest", value.alias("value"), label.alias("label"))
         .where(F.col("value").isNotNull())
-        .groupBy("value")
+        .groupBy("manifest_digest", "value")
         .agg(F.max("label").alias("label"))
     )
     keys = resource_keys(resources).where(F.col("kind") == kind)
     if kind == "path":
         keys = keys.withColumn("value", F.rtrim("value", F.lit("/")))
-    counts = keys.groupBy("value").agg(F.count("*").alias("n_resources"))
-    return values.join(counts, "value")
+    counts = keys.groupBy("manifest_digest", "value").agg(F.count("*").alias("n_resources"))
+    return values.join(counts, ["manifest_digest", "value"])
 
 
 def scope_report(
@@ -420,13 +424,17 @@ def catalog_coverage(columns: DataFrame, resources: DataFrame) -> DataFrame:
     )
 
 
-def agent_sizes(agents: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Resources per agent; a name declared more than once is a problem."""
+def agent_sizes(agents: DataFrame, scopes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Resources per agent and snapshot; a name declared more than once is a problem.
+
+    ``snapshots(agent, manifest_digest)``; an agent without a snapshot has one row without a digest.
+    """
+    key = ["agent", "manifest_digest"]
     declared = agents.groupBy("agent").agg(F.count("*").alias("n_declared"))
-    sizes = scopes.groupBy("agent").agg(F.count("*").alias("n_resources"))
+    sizes = scopes.groupBy(*key).agg(F.count("*").alias("n_resources"))
     n = F.coalesce("n_resources", F.lit(0))
-    return declared.join(sizes, "agent", "left").select(
-        "agent",
+    return declared.join(snapshots.select(*key).distinct(), "agent", "left").join(sizes, key, "left").select(
+        *key,
         n.alias("n_resources"),
         F.when(F.col("n_declared") > 1, "duplicated").when(n == 0, "empty scope").alias("problem"),
     )

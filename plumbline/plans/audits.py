@@ -9,6 +9,7 @@ from plumbline.operators import scope as S
 from plumbline.plans import fixtures as fx
 from plumbline.plans import scopes as B
 from plumbline.plans.registry import query, table, view
+from plumbline.session import cut
 
 _STATEMENTS = """
 select user_id as query_id, event_id as ord, case when value > 200 then 1 else 0 end as depth,
@@ -60,23 +61,25 @@ def c03(spark, sf):
 
 def _log(spark, sf):
     """Facts of the query log. Line 1 references are CTE names; the rest are relations."""
-    refs = B.relations(spark, sf)
-    relations = refs.select(
+    queries = B.queries(spark, sf)
+    relations = B.relations(spark, sf).join(queries, "query_id").select(
         "query_id",
         "ord",
-        F.lit("all").alias("agent"),
+        "agent",
+        "manifest_digest",
         "ref",
         F.concat(F.lit("T"), "ord").alias("alias"),
         ((F.col("ord") == 1) & ~F.contains("ref", F.lit("."))).alias("is_cte"),
     )
-    keys = S.relation_keys(B.everyone(spark, sf), B.resources(spark, sf))
-    resolved = S.resolve_relations(A.base_relations(relations), keys)
-    queries = refs.select("query_id").distinct().withColumn("agent", F.lit("all"))
+    catalog = B.history(spark, sf)
+    keys = S.relation_keys(B.everyone(catalog), catalog)
+    # read by every check: resolved once
+    resolved = cut(S.resolve_relations(A.base_relations(relations), keys))
     return queries, relations, resolved
 
 
 _BASE = f"""
-select r.query_id, r.ord, f.ref, r.status, r.unique_id
+select r.query_id, r.ord, f.ref, r.manifest_digest, r.status, r.unique_id
 from ({B.RESOLVED_SQL}) r join ({fx.RELATIONS}) f on f.query_id = r.query_id and f.ord = r.ord
 where r.ord <> 1 or contains(f.ref, '.')
 """
@@ -99,8 +102,8 @@ def c04(spark, sf):
 
 
 _JOINS = """
-select l_orderkey as query_id, l_linenumber as ord, l_discount > 0.01 as has_on, l_tax > 0.07 as has_using
-from lineitem where l_quantity > 10
+select l_orderkey as query_id, l_linenumber as ord, l_discount > 0.01 or l_quantity <= 10 as has_on, l_tax > 0.07 as has_using
+from lineitem
 """
 
 
@@ -118,11 +121,13 @@ def c05(spark, sf):
     return A.audit_joins(A.used_resources(resolved), view(spark, sf, _JOINS)).select("query_id", "message")
 
 
-# Every resource has an 'id'; small parts also 'size', others 'price'.
+# Every resource has an 'id'; small parts also 'size', others 'price', which the second snapshot calls 'cost' for large ones.
 _RESOURCE_COLUMNS = """
-select concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20))) as unique_id, 'Id' as column_name from part
-union all select concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20))),
-                 case when p_size < 25 then 'size' else 'price' end from part
+select manifest_digest, concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20))) as unique_id, 'Id' as column_name
+from part cross join (values ('m'), ('n')) as d(manifest_digest)
+union all select manifest_digest, concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20))),
+                 case when p_size < 25 then 'size' when p_size > 45 and manifest_digest = 'n' then 'cost' else 'price' end
+from part cross join (values ('m'), ('n')) as d(manifest_digest)
 """
 
 _COLUMN_REFS = """
@@ -134,14 +139,14 @@ from {refs} r
 """
 
 _RESOLVED_COLUMNS = f"""
-with used as (select distinct query_id, unique_id from ({_BASE}) b where status = 'resolved'),
-     aliased as (select query_id, concat('t', ord) as alias, unique_id from ({_BASE}) b where status = 'resolved'),
-     cols as (select unique_id, lower(column_name) as folded from ({_RESOURCE_COLUMNS}) c),
-     anywhere as (select query_id, folded, count(*) as n from used join cols using (unique_id) group by 1, 2)
+with used as (select distinct query_id, manifest_digest, unique_id from ({_BASE}) b where status = 'resolved'),
+     aliased as (select query_id, concat('t', ord) as alias, manifest_digest, unique_id from ({_BASE}) b where status = 'resolved'),
+     cols as (select manifest_digest, unique_id, lower(column_name) as folded from ({_RESOURCE_COLUMNS}) c),
+     anywhere as (select query_id, folded, count(*) as n from used join cols using (manifest_digest, unique_id) group by 1, 2)
 select r.query_id, r.ord, r.qualifier, r.name,
        case when r.qualifier = 'cte' then case when lower(r.name) in ('id', 'total') then 'derived' else 'derived_missing' end
             when r.qualifier <> '' and a.unique_id is not null
-              then case when exists (select 1 from cols c where c.unique_id = a.unique_id and c.folded = lower(r.name))
+              then case when exists (select 1 from cols c where c.manifest_digest = a.manifest_digest and c.unique_id = a.unique_id and c.folded = lower(r.name))
                         then 'found' else 'missing' end
             when coalesce(w.n, 0) = 0 then case when r.qualifier = '' and r.name = 'total' then 'alias' else 'missing' end
             when r.qualifier = '' and w.n > 1 then 'ambiguous' else 'found' end as status
@@ -151,13 +156,12 @@ left join anywhere w on w.query_id = r.query_id and w.folded = lower(r.name)
 """
 
 
-def _columns(spark, sf):
-    queries, _, resolved = _log(spark, sf)
+def _resolved_columns(spark, sf, queries, resolved):
     ids = queries.select("query_id")
     derived = ids.select(
         "query_id", F.lit("CTE").alias("alias"), F.explode(F.array(F.lit("Id"), F.lit("total"))).alias("column_name")
     )
-    return resolved, A.resolve_columns(
+    return A.resolve_columns(
         spark.sql(_COLUMN_REFS, refs=B.relations(spark, sf)),
         A.query_usage(resolved),
         A.used_resources(resolved),
@@ -167,9 +171,14 @@ def _columns(spark, sf):
     )
 
 
+def _columns(spark, sf):
+    queries, _, resolved = _log(spark, sf)
+    return queries, resolved, _resolved_columns(spark, sf, queries, resolved)
+
+
 @query("C06_columns", _RESOLVED_COLUMNS)
 def c06(spark, sf):
-    return _columns(spark, sf)[1]
+    return _columns(spark, sf)[2]
 
 
 def _column_messages(status, text):
@@ -183,7 +192,7 @@ def _column_messages(status, text):
     ),
 )
 def c07(spark, sf):
-    found = A.audit_columns(_columns(spark, sf)[1])
+    found = A.audit_columns(_columns(spark, sf)[2])
     return found.where(F.contains("message", F.lit("ambiguous"))).select("query_id", "message")
 
 
@@ -195,37 +204,43 @@ def c07(spark, sf):
     ),
 )
 def c08(spark, sf):
-    found = A.audit_columns(_columns(spark, sf)[1])
+    found = A.audit_columns(_columns(spark, sf)[2])
     return found.where(F.contains("message", F.lit("derived"))).select("query_id", "message")
 
 
+# Small parts are sensitive, in the second snapshot also those of size 10; agents may see the smallest.
+_SENSITIVE_META = """
+select manifest_digest, concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20))) as unique_id, p_size,
+       p_size < 5 or (p_size = 10 and manifest_digest = 'n') as is_model, p_size > 30 as lists_price, p_size < 10 as flags_size
+from part cross join (values ('m'), ('n')) as d(manifest_digest)
+"""
+
+
 def _sensitive(spark, sf):
-    part = table(spark, sf, "part")
-    uid = F.concat(F.lit("model."), F.lower("p_type"), F.lit(".part_"), "p_partkey")
-    meta = F.when(F.col("p_size") < 5, F.expr("map('sensitive', parse_json('true'))")).when(
-        F.col("p_size") > 30, F.expr("map('sensitive_columns', parse_json('[\"Price\"]'))")
+    part = view(spark, sf, _SENSITIVE_META)
+    meta = F.when(F.col("is_model"), F.expr("map('sensitive', parse_json('true'))")).when(
+        F.col("lists_price"), F.expr("map('sensitive_columns', parse_json('[\"Price\"]'))")
     )
-    resources = part.select(uid.alias("unique_id"), meta.alias("meta"))
-    columns = part.where("p_size < 25").select(
-        uid.alias("unique_id"),
-        F.lit("size").alias("column_name"),
-        F.when(F.col("p_size") < 10, F.expr("map('sensitive', parse_json('true'))")).alias("meta"),
+    resources = part.select("manifest_digest", "unique_id", meta.alias("meta"))
+    columns = part.select(
+        "manifest_digest",
+        "unique_id",
+        F.when(F.col("p_size") < 25, "size").otherwise("price").alias("column_name"),
+        F.when(F.col("flags_size"), F.expr("map('sensitive', parse_json('true'))")).alias("meta"),
     )
-    allow = part.where("p_size < 3").select(F.lit("all").alias("agent"), uid.alias("item"))
+    allow = part.select(F.lit("all").alias("agent"), F.when(F.col("p_size") < 3, F.col("unique_id")).otherwise("public").alias("item")).distinct()
     return resources, columns, allow
 
 
-_USED = f"select distinct query_id, unique_id from ({_BASE}) b where status = 'resolved'"
+_USED = f"select query_id, manifest_digest, unique_id, min(ord) as ord from ({_BASE}) b where status = 'resolved' group by 1, 2, 3"
 
+_SENSITIVE_MODELS_SQL = f"""
+select query_id, 2 * ord as pos, concat('Sensitive model ''', unique_id, ''' requires explicit permission') as message
+from ({_USED}) u join ({_SENSITIVE_META}) s using (manifest_digest, unique_id) where is_model and p_size >= 3
+"""
 
-@query(
-    "C09_sensitive_models",
-    f"""
-select query_id, concat('Sensitive model ''', unique_id, ''' requires explicit permission') as message
-from ({_USED}) u join part on unique_id = concat('model.', lower(p_type), '.part_', p_partkey)
-where p_size in (3, 4)
-""",
-)
+
+@query("C09_sensitive_models", f"select query_id, message from ({_SENSITIVE_MODELS_SQL}) s")
 def c09(spark, sf):
     queries, _, resolved = _log(spark, sf)
     resources, _, allow = _sensitive(spark, sf)
@@ -235,20 +250,19 @@ def c09(spark, sf):
 
 
 _SENSITIVE_COLUMNS_SQL = f"""
-with s as (select concat('model.', lower(p_type), '.part_', p_partkey) as unique_id,
-                  case when p_size < 10 then 'size' else 'price' end as folded
-           from part where p_size < 10 or p_size > 30),
-     names as (select distinct query_id, name from ({_RESOLVED_COLUMNS}) c where status in ('found', 'ambiguous'))
-select distinct n.query_id, concat('Sensitive columns require explicit permission: ', n.name) as message
-from names n join ({_USED}) u on u.query_id = n.query_id
-             join s on s.unique_id = u.unique_id and s.folded = lower(n.name)
+select query_id, 2 * ord + 1 as pos, concat('Sensitive columns require explicit permission: ', string_agg(name, ', ' order by name)) as message
+from (select distinct n.query_id, u.unique_id, u.ord, n.name
+      from (select distinct query_id, name from ({_RESOLVED_COLUMNS}) c where status in ('found', 'ambiguous')) n
+      join ({_USED}) u on u.query_id = n.query_id
+      join ({_SENSITIVE_META}) s on s.manifest_digest = u.manifest_digest and s.unique_id = u.unique_id
+        and ((flags_size and lower(n.name) = 'size') or (lists_price and not is_model and lower(n.name) = 'price'))) x
+group by query_id, unique_id, ord
 """
 
 
-@query("C10_sensitive_columns", _SENSITIVE_COLUMNS_SQL)
+@query("C10_sensitive_columns", f"select query_id, message from ({_SENSITIVE_COLUMNS_SQL}) s")
 def c10(spark, sf):
-    queries, _, _ = _log(spark, sf)
-    resolved, columns = _columns(spark, sf)
+    queries, resolved, columns = _columns(spark, sf)
     resources, declared, allow = _sensitive(spark, sf)
     return A.audit_sensitive_columns(
         A.used_resources(resolved),
@@ -268,41 +282,76 @@ select distinct query_id, 'column', name from ({_RESOLVED_COLUMNS}) c where stat
 """,
 )
 def c12(spark, sf):
-    resolved, columns = _columns(spark, sf)
+    _, resolved, columns = _columns(spark, sf)
     models = A.used_resources(resolved).select("query_id", F.lit("model").alias("kind"), F.col("unique_id").alias("item"))
     return models.unionByName(
         A.used_columns(columns).select("query_id", F.lit("column").alias("kind"), F.col("name").alias("item"))
     )
 
 
+# What the statements of the log are, and which functions they call, line by line.
+_LOG_STATEMENTS = """
+select l_orderkey as query_id, 0 as ord, 0 as depth, case when sum(l_quantity) > 260 then 'update' else 'select' end as kind
+from lineitem group by l_orderkey
+"""
+_LOG_FUNCTIONS = """
+select l_orderkey as query_id, l_linenumber as ord,
+       case when l_extendedprice > 100000 then 'read_csv' when l_extendedprice < 1000 then 'nextval' else 'sum' end as name
+from lineitem
+"""
+
+
 @query(
     "C13_verdict",
     f"""
 with f as (
-  select query_id, 20 as step, case when status = 'ambiguous' then 'relations_unambiguous' else 'resources_in_scope' end as chk,
+  select query_id, 0 as step, 0 as pos, 'read_only' as chk, 'Only a read-only query statement is allowed' as message
+  from ({_LOG_STATEMENTS}) s where kind = 'update'
+  union all
+  select query_id, 1, ord, 'forbidden_functions', concat('Function ''', name, ''' is forbidden') from ({_LOG_FUNCTIONS}) g where name <> 'sum'
+  union all
+  select query_id, 2, ord, case when status = 'ambiguous' then 'relations_unambiguous' else 'resources_in_scope' end,
          concat('Relation ''', ref, ''' is ', case when status = 'ambiguous' then 'ambiguous'
-                else 'not a manifest-backed resource in agent scope' end) as message
+                else 'not a manifest-backed resource in agent scope' end)
   from ({_BASE}) b where status <> 'resolved'
   union all
-  select query_id, 21, 'resources_in_scope', 'SQL must query at least one manifest-backed relation'
+  select query_id, 2, 0, 'resources_in_scope', 'SQL must query at least one manifest-backed relation'
   from (select distinct query_id from ({fx.RELATIONS}) f) q where query_id not in (select query_id from ({_BASE}) b)
   union all
-  select u.query_id, 40, 'join_conditions', 'Every multi-relation query requires explicit join conditions'
+  select u.query_id, 4, 0, 'join_conditions', 'Every multi-relation query requires explicit join conditions'
   from (select query_id from ({_USED}) b group by 1 having count(*) > 1) u
   left join (select query_id, bool_and(has_on or has_using) as ok from ({_JOINS}) j group by 1) j on j.query_id = u.query_id
-  where not coalesce(ok, false)),
- first as (select query_id, arg_min(chk, step::varchar || message) as chk, arg_min(message, step::varchar || message) as message
+  where not coalesce(ok, false)
+  union all
+  select query_id, 5, ord, 'columns_exist',
+         case status when 'derived_missing' then concat('Column ''', qualifier, '.', name, ''' does not exist in derived relation ''', qualifier, '''')
+                     when 'missing' then concat('Column ''', case when qualifier <> '' then concat(qualifier, '.') else '' end, name,
+                                                ''' does not exist on a selected dbt resource')
+                     else concat('Unqualified column ''', name, ''' is ambiguous across selected dbt resources') end
+  from ({_RESOLVED_COLUMNS}) c where status in ('derived_missing', 'missing', 'ambiguous')
+  union all select query_id, 6, pos, 'sensitive_access', message from ({_SENSITIVE_MODELS_SQL}) s
+  union all select query_id, 6, pos, 'sensitive_access', message from ({_SENSITIVE_COLUMNS_SQL}) s),
+ first as (select query_id, arg_min(chk, {{'s': step, 'p': pos, 'm': message}}) as chk, arg_min(message, {{'s': step, 'p': pos, 'm': message}}) as message
            from f group by 1)
 select q.query_id, first.query_id is null as passed, first.chk as failed_check, first.message
 from (select distinct query_id from ({fx.RELATIONS}) f) q left join first on first.query_id = q.query_id
 """,
 )
 def c13(spark, sf):
+    """All seven checks over one resolved log; the first failure by check and place decides."""
     queries, _, resolved = _log(spark, sf)
+    columns = cut(_resolved_columns(spark, sf, queries, resolved))
+    used = cut(A.used_resources(resolved))
+    resources, declared, allow = _sensitive(spark, sf)
     return A.audit(
         queries,
+        A.audit_read_only(view(spark, sf, _LOG_STATEMENTS)),
+        A.audit_functions(view(spark, sf, _LOG_FUNCTIONS)),
         A.audit_scope(queries, resolved),
-        A.audit_joins(A.used_resources(resolved), view(spark, sf, _JOINS)),
+        A.audit_joins(used, view(spark, sf, _JOINS)),
+        A.audit_columns(columns),
+        A.audit_sensitive_models(used, queries, resources, allow),
+        A.audit_sensitive_columns(used, A.used_columns(columns), queries, A.sensitive_columns(resources, declared), allow),
     )
 
 
@@ -328,13 +377,13 @@ def c14(spark, sf):
 @query(
     "C15_render_refs",
     f"""
-with r as (select * from ({fx.RESOURCES}) x where enabled and not (materialized is not null and materialized = 'ephemeral'))
-select p_partkey as template_id,
+with r as (select * from ({fx.RESOURCE_HISTORY}) x where enabled and not (materialized is not null and materialized = 'ephemeral'))
+select p_partkey as template_id, d as manifest_digest,
        case when p_size = 7 then null when r.unique_id is null then null
             else concat('select * from ', r.relation_name, ' where x = ''', p_name, ''' and y in (select y from ', r.relation_name, ')') end as rendered,
        case when p_size = 7 then 'Only ref() is supported in reference queries'
             when r.unique_id is null then concat('ref(''part_', p_partkey, ''') is ambiguous') end as problem
-from part left join r on r.name = concat('part_', p_partkey)
+from part cross join (values ('m'), ('n')) v(d) left join r on r.manifest_digest = d and r.name = concat('part_', p_partkey)
 """,
 )
 def c15(spark, sf):
@@ -345,5 +394,6 @@ def c15(spark, sf):
         F.when(F.col("p_size") == 7, "{{ var('x') }}").otherwise(""),
         F.lit("' and y in (select y from "), tight, F.lit(")"),
     )
-    templates = table(spark, sf, "part").select(F.col("p_partkey").alias("template_id"), text.alias("text"))
-    return A.render_refs(templates, B.resources(spark, sf)).select("template_id", "rendered", "problem")
+    both = F.explode(F.array(F.lit("m"), F.lit("n")))
+    templates = table(spark, sf, "part").select(F.col("p_partkey").alias("template_id"), both.alias("manifest_digest"), text.alias("text"))
+    return A.render_refs(templates, B.history(spark, sf)).select("template_id", "manifest_digest", "rendered", "problem")

@@ -113,6 +113,32 @@ select concat('model.', lower(p_type), '.part_', cast(p_partkey as varchar(20)))
 from part
 """
 
+# Two snapshots of that catalog: the second one has renamed some resources and removed others.
+_SNAPSHOT_COLUMNS = "resource_type, package, {name} as name, {alias} as alias, database, schema, {relation} as relation_name, grp, tag, path, materialized, enabled, description"
+RESOURCE_HISTORY = f"""
+select 'm' as manifest_digest, unique_id, {_SNAPSHOT_COLUMNS.format(name='name', alias='alias', relation='relation_name')} from ({RESOURCES}) r
+union all
+select 'n', unique_id, {_SNAPSHOT_COLUMNS.format(
+    name="case when unique_id like '%7' then concat('new_', name) else name end",
+    alias="case when unique_id like '%7' then concat('New_', alias) else alias end",
+    relation="case when unique_id like '%7' then replace(relation_name, '.\"a_', '.\"new_a_') else relation_name end")}
+from ({RESOURCES}) r where unique_id not like '%3'
+"""
+# Agents and the snapshots they have known, by the time these came into force. Some queries are older than all of them.
+SNAPSHOTS = """
+select 'all' as agent, 'm' as manifest_digest, cast('1995-03-01' as timestamp) as since
+union all select 'all', 'n', cast('1996-08-01 00:00:00' as timestamp)
+"""
+# Queries and when they ran.
+QUERY_LOG = """
+select l_orderkey as query_id, 'all' as agent, min(l_shipdate) as ran_at from lineitem group by l_orderkey
+"""
+# The same with the snapshot in force.
+QUERY_DIGESTS = f"""
+select query_id, agent, case when ran_at >= cast('1996-08-01' as timestamp) then 'n' when ran_at >= cast('1995-03-01' as timestamp) then 'm' end as manifest_digest
+from ({QUERY_LOG}) q
+"""
+
 # Relation references of a query log: quoted, qualified, ambiguous and unknown.
 RELATION_ROWS = """
 select l_orderkey as query_id, l_partkey, l_suppkey, l_shipdate,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import history as H
 from plumbline.operators import scope as S
 from plumbline.operators.ranking import ranked
 from plumbline.plans import fixtures as fx
@@ -12,10 +13,10 @@ from plumbline.plans.registry import query, table, view
 _QUERYABLE = "enabled and not (materialized is not null and materialized = 'ephemeral')"
 
 
-def resources(spark, sf):
-    r = view(spark, sf, fx.RESOURCES)
+def history(spark, sf):
+    """The catalog's resources in both snapshots."""
+    r = view(spark, sf, fx.RESOURCE_HISTORY)
     return r.select(
-        F.lit("m").alias("manifest_digest"),
         *[c for c in r.columns if c != "tag"],
         F.array("tag").alias("tags"),
         F.expr(_QUERYABLE).alias("queryable"),
@@ -26,6 +27,17 @@ def resources(spark, sf):
     )
 
 
+def resources(spark, sf):
+    """The catalog's resources in the first snapshot."""
+    return history(spark, sf).where("manifest_digest = 'm'")
+
+
+def snapshots(spark, sf, agents):
+    """Both snapshots for each agent."""
+    both = F.explode(F.array(F.lit("m"), F.lit("n")))
+    return agents.select("agent").distinct().select("agent", both.alias("manifest_digest"))
+
+
 # One agent per nation: it selects a brand, a tag, a folder, a package, a source and a model.
 _SELECTORS = """
 select n_name as agent, concat('group:Brand#', cast(n_nationkey + 1 as varchar(4))) as selector, false as is_exclude from nation
@@ -162,26 +174,25 @@ def b05(spark, sf):
     return S.expand_scope(chosen, agents, r, e).select("agent", "unique_id")
 
 
-def everyone(spark, sf):
+def everyone(resources):
     """A single scope holding every queryable resource."""
-    return resources(spark, sf).where("queryable").select(
-        F.lit("all").alias("agent"), "manifest_digest", "unique_id"
-    )
+    return resources.where("queryable").select(F.lit("all").alias("agent"), "manifest_digest", "unique_id")
 
 
 KEYS_SQL = f"""
-select relation, count(*) as n_matches, min(unique_id) as unique_id
-from (select distinct unique_id, relation from (
-        select unique_id, unnest([lower(name), lower(alias), replace(lower(relation_name), '"', ''),
+select manifest_digest, relation, count(*) as n_matches, min(unique_id) as unique_id
+from (select distinct manifest_digest, unique_id, relation from (
+        select manifest_digest, unique_id, unnest([lower(name), lower(alias), replace(lower(relation_name), '"', ''),
                                   concat(schema, '.', lower(alias)), concat(database, '.', schema, '.', lower(alias))]) as relation
-        from ({fx.RESOURCES}) r where {_QUERYABLE}) x) y
-group by relation
+        from ({fx.RESOURCE_HISTORY}) r where {_QUERYABLE}) x) y
+group by manifest_digest, relation
 """
 RESOLVED_SQL = f"""
-select q.query_id, q.ord, case when k.n_matches is null then 'out_of_scope'
+select q.query_id, q.ord, d.manifest_digest, case when k.n_matches is null then 'out_of_scope'
                                when k.n_matches > 1 then 'ambiguous' else 'resolved' end as status,
        case when k.n_matches = 1 then k.unique_id end as unique_id
-from ({fx.RELATIONS}) q left join ({KEYS_SQL}) k on k.relation = lower(replace(q.ref, '"', ''))
+from ({fx.RELATIONS}) q join ({fx.QUERY_DIGESTS}) d using (query_id)
+left join ({KEYS_SQL}) k on k.manifest_digest = d.manifest_digest and k.relation = lower(replace(q.ref, '"', ''))
 """
 
 
@@ -191,15 +202,25 @@ def relations(spark, sf):
     return rows.withColumn("ord", F.col("ord") + 1)
 
 
+def queries(spark, sf):
+    """The query log with the snapshot that was in force for each query."""
+    return H.in_force(view(spark, sf, fx.QUERY_LOG), view(spark, sf, fx.SNAPSHOTS)).select("query_id", "agent", "manifest_digest")
+
+
 def resolved(spark, sf):
-    refs = relations(spark, sf).select(F.lit("all").alias("agent"), "query_id", "ord", "ref")
-    keys = S.relation_keys(everyone(spark, sf), resources(spark, sf))
-    return S.resolve_relations(refs, keys)
+    refs = relations(spark, sf).select("query_id", "ord", "ref").join(queries(spark, sf), "query_id")
+    r = history(spark, sf)
+    return S.resolve_relations(refs, S.relation_keys(everyone(r), r))
 
 
 @query("B06_relations", RESOLVED_SQL)
 def b06(spark, sf):
-    return resolved(spark, sf).select("query_id", "ord", "status", "unique_id")
+    return resolved(spark, sf).select("query_id", "ord", "manifest_digest", "status", "unique_id")
+
+
+@query("B06_in_force", f"select query_id, agent, manifest_digest from ({fx.QUERY_DIGESTS}) d")
+def b06_in_force(spark, sf):
+    return queries(spark, sf)
 
 
 @query(
@@ -210,7 +231,8 @@ select alias, unique_id from r where alias in (select alias from r group by alia
 """,
 )
 def b07(spark, sf):
-    return S.duplicate_aliases(everyone(spark, sf), resources(spark, sf)).select("alias", "unique_id")
+    r = resources(spark, sf)
+    return S.duplicate_aliases(everyone(r), r).select("alias", "unique_id")
 
 
 # Columns on the lineage graph: regions and nations document theirs, customers only some, orders none.
@@ -235,10 +257,22 @@ where c.description = '' group by 1, 2 having count(distinct p.description) = 1
 """
 
 
+# In the second snapshot the regions no longer describe their key.
+_GRAPH_COLUMNS_LATER = f"select unique_id, column_name, case when unique_id like 'region.%' then '' else description end as description from ({_GRAPH_COLUMNS}) g"
+
+
 def _graph_columns(spark, sf):
     return view(spark, sf, _GRAPH_COLUMNS).withColumn("manifest_digest", F.lit("m"))
 
 
+def _graph_history(spark, sf):
+    """Resources, edges and columns of the lineage graph in both snapshots."""
+    r, e = graph(spark, sf)
+    later = view(spark, sf, _GRAPH_COLUMNS_LATER).withColumn("manifest_digest", F.lit("n"))
+    both = [t.unionByName(t.withColumn("manifest_digest", F.lit("n"))) for t in (r, e)]
+    return *both, _graph_columns(spark, sf).unionByName(later)
+
+
 def _inherited(spark, sf):
     r, e = graph(spark, sf)
     scopes = r.select("manifest_digest", "unique_id")
@@ -250,57 +284,65 @@ def b08(spark, sf):
     return _inherited(spark, sf).select("unique_id", "column_name", "description")
 
 
-@query(
-    "B09_missing_descriptions",
-    f"""
-with inherited as ({_INHERITED_SQL})
-select unique_id, column_name from ({_GRAPH_COLUMNS}) c where description = ''
-  and not exists (select 1 from inherited i where i.unique_id = c.unique_id and i.column_name = c.column_name)
-union all select unique_id, null from ({fx.GRAPH_RESOURCES}) g where resource_type = 'source'
-""",
-)
+def _missing_sql(digest, columns):
+    return f"""
+select '{digest}' as manifest_digest, unique_id, column_name from ({columns}) c where description = ''
+  and not exists (select 1 from ({_INHERITED_SQL.replace(_GRAPH_COLUMNS, columns)}) i where i.unique_id = c.unique_id and i.column_name = c.column_name)
+union all select '{digest}', unique_id, null from ({fx.GRAPH_RESOURCES}) g where resource_type = 'source'
+"""
+
+
+@query("B09_missing_descriptions", f"{_missing_sql('m', _GRAPH_COLUMNS)} union all {_missing_sql('n', _GRAPH_COLUMNS_LATER)}")
 def b09(spark, sf):
-    r, _ = graph(spark, sf)
+    r, e, columns = _graph_history(spark, sf)
+    inherited = S.inherit_descriptions(columns, S.ancestors(r.select("manifest_digest", "unique_id"), e, r))
     r = r.withColumn("description", F.when(F.col("resource_type") == "source", "").otherwise("x"))
     scopes = r.select(F.lit("all").alias("agent"), "manifest_digest", "unique_id")
-    return S.missing_descriptions(scopes, r, _graph_columns(spark, sf), _inherited(spark, sf)).select(
-        "unique_id", "column_name"
-    )
+    return S.missing_descriptions(scopes, r, columns, inherited).select("manifest_digest", "unique_id", "column_name")
 
 
 @query(
     "B10_facets",
     f"""
-with r as (select * from ({fx.RESOURCES}) x where {_QUERYABLE}), m as (select * from r where resource_type = 'model')
-select 'group' as kind, grp as value, 'dbt group' as label, count(*) as n_resources from m group by grp
-union all select 'tag', tag, 'dbt tag', count(*) from m group by tag
-union all select 'package', package, 'dbt package', count(*) from m group by package
-union all select 'path', concat('models/', grp, '/', package), 'dbt model path', count(*) from m group by grp, package
-union all select 'model', concat(package, '.', name), case when description = '' then relation_name else description end, 1 from m
-union all select 'source', concat(package, '.', name), case when description = '' then alias else description end, 1
+with r as (select * from ({fx.RESOURCE_HISTORY}) x where {_QUERYABLE}), m as (select * from r where resource_type = 'model')
+select manifest_digest, 'group' as kind, grp as value, 'dbt group' as label, count(*) as n_resources from m group by manifest_digest, grp
+union all select manifest_digest, 'tag', tag, 'dbt tag', count(*) from m group by manifest_digest, tag
+union all select manifest_digest, 'package', package, 'dbt package', count(*) from m group by manifest_digest, package
+union all select manifest_digest, 'path', concat('models/', grp, '/', package), 'dbt model path', count(*) from m group by manifest_digest, grp, package
+union all select manifest_digest, 'model', concat(package, '.', name), case when description = '' then relation_name else description end, 1
+          from m where name not like 'new_%'
+union all select manifest_digest, 'source', regexp_extract(unique_id, '([^.]*[.][^.]*)$', 1), case when description = '' then alias else description end, 1
           from r where resource_type = 'source'
+union all select manifest_digest, 'model', concat(package, '.', name), case when description = '' then relation_name else description end, 1
+          from m where name like 'new_%'
 """,
 )
 def b10(spark, sf):
-    r = resources(spark, sf)
+    r = history(spark, sf)
     out = None
     for kind in ("group", "tag", "package", "path", "model", "source"):
-        part = S.selector_facets(r, kind).select(F.lit(kind).alias("kind"), "value", "label", "n_resources")
+        part = S.selector_facets(r, kind).select("manifest_digest", F.lit(kind).alias("kind"), "value", "label", "n_resources")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+_MATCH_HISTORY_SQL = _MATCH_SQL.replace(fx.RESOURCES, fx.RESOURCE_HISTORY).replace("r.unique_id\nfrom", "r.unique_id, r.manifest_digest\nfrom")
+
+
 @query(
     "B11_unmatched_selectors",
     f"""
-select agent, selector, 'matched no queryable resources' as problem from ({_SELECTORS}) s
+with m as ({_MATCH_HISTORY_SQL})
+select agent, d as manifest_digest, selector, 'matched no queryable resources' as problem
+from ({_SELECTORS}) s, (values ('m'), ('n')) v(d)
 where not is_exclude and selector not like 'color:%'
-  and not exists (select 1 from ({_MATCH_SQL}) m where m.agent = s.agent and m.selector = s.selector)
-union all select agent, selector, 'unsupported selector' from ({_SELECTORS}) s where selector like 'color:%'
+  and not exists (select 1 from m where m.agent = s.agent and m.selector = s.selector and m.manifest_digest = d)
+union all select agent, null, selector, 'unsupported selector' from ({_SELECTORS}) s where selector like 'color:%'
 """,
 )
 def b11(spark, sf):
-    return S.unmatched_selectors(resources(spark, sf), _selectors(spark, sf))
+    selectors = _selectors(spark, sf)
+    return S.unmatched_selectors(history(spark, sf), selectors, snapshots(spark, sf, selectors))
 
 
 def _part_columns(spark, sf):
@@ -399,10 +441,10 @@ def b13(spark, sf):
 @query(
     "B14_agent_sizes",
     """
-select n_name as agent, count(c_custkey) as n_resources,
+select n_name as agent, d as manifest_digest, count(c_custkey) as n_resources,
        case when n_regionkey = 4 then 'duplicated' when count(c_custkey) = 0 then 'empty scope' end as problem
-from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9900
-group by n_name, n_regionkey
+from nation, (values ('m', 9900), ('n', 9950)) v(d, least) left join customer on c_nationkey = n_nationkey and c_acctbal > least
+group by n_name, n_regionkey, d
 """,
 )
 def b14(spark, sf):
@@ -410,10 +452,8 @@ def b14(spark, sf):
     agents = nation.select(F.col("n_name").alias("agent")).union(
         nation.where("n_regionkey = 4").select("n_name")
     )
-    scopes = (
-        table(spark, sf, "customer")
-        .where("c_acctbal > 9900")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(F.col("n_name").alias("agent"), F.col("c_name").alias("unique_id"))
-    )
-    return S.agent_sizes(agents, scopes)
+    owned = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("agent"), F.col("c_name").alias("unique_id"), "c_acctbal")
+    first = owned.where("c_acctbal > 9900").withColumn("manifest_digest", F.lit("m"))
+    later = owned.where("c_acctbal > 9950").withColumn("manifest_digest", F.lit("n"))
+    return S.agent_sizes(agents, first.unionByName(later), snapshots(spark, sf, agents))
