@@ -185,15 +185,19 @@ def governed_query(
 def _within(session: SparkSession, timeout_seconds: float, action: Callable[[], T]) -> T:
     """Run an action of this thread; when time is up its jobs are cancelled."""
     tag = f"governed-{uuid.uuid4().hex}"
-    late = threading.Event()
+    late, done = threading.Event(), threading.Event()
 
     def stop() -> None:
+        if done.wait(timeout_seconds):
+            return
         late.set()
-        session.interruptTag(tag)
+        while not done.wait(0.2):  # a job may start after the first interrupt
+            context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(timeout_seconds, stop)
-    session.addTag(tag)
-    timer.start()
+    context = session.sparkContext
+    watch = threading.Thread(target=stop, daemon=True)
+    context.addJobTag(tag)
+    watch.start()
     try:
         return action()
     except Exception as exc:
@@ -201,8 +205,9 @@ def _within(session: SparkSession, timeout_seconds: float, action: Callable[[],
             raise TimeoutError(f"Query exceeded the {timeout_seconds}s timeout") from exc
         raise
     finally:
-        timer.cancel()
-        session.removeTag(tag)
+        done.set()
+        watch.join()
+        context.removeJobTag(tag)
 
 
 def fetch(result: DataFrame, timeout_seconds: float) -> list[Row]:
