@@ -308,20 +308,42 @@ def audit(queries: DataFrame, *failures: DataFrame) -> DataFrame:
     )
 
 
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of a text of each of the sizes; of size 0 the empty one."""
+    def of(n: int) -> Column:
+        if n == 0:
+            return F.array(F.lit(""))
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
+
+
 def guard_questions(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """Adds ``blocked_term``: the first of the agent's terms the question contains, ignoring case.
 
-    ``terms(agent, ord, term)`` is authored; an agent's list becomes one array.
+    ``terms(agent, ord, term)`` is authored and may be long. Each term is filed under the one of its trigrams that fewest questions hold (shorter
+    terms under themselves); a question meets the terms filed under a trigram of its own, and ``contains`` decides. Equal questions
+    of an agent are looked at once.
     """
-    lists = terms.groupBy("agent").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_terms")
-    )
-    hits = F.filter("_terms", lambda t: F.contains(fold(F.col("question")), fold(t["term"])))
-    return (
-        questions.join(lists, "agent", "left")
-        .withColumn("blocked_term", F.get(hits, F.lit(0))["term"])
-        .drop("_terms")
-    )
+    folded = terms.where("term is not null").select("agent", "ord", "term", fold(F.col("term")).alias("t"))
+    sizes = sorted(r[0] for r in folded.select(F.least(F.length("t"), F.lit(3))).distinct().collect())  # 0 to 3
+    if not sizes:
+        return questions.withColumn("blocked_term", F.lit(None).cast("string"))
+    asked = questions.select("agent", "question", fold(F.col("question")).alias("q")).where("q is not null").distinct()
+    texts = asked.select("agent", "q").distinct()
+    held = texts.select("agent", "q", F.explode(_grams(F.col("q"), sizes)).alias("gram"))
+    keys = folded.select("agent", "ord", "term", "t", F.explode(F.filter(
+        _grams(F.col("t"), sizes), lambda g: F.length(g) == F.least(F.length("t"), F.lit(3)))).alias("gram"))
+    common = held.join(keys.select("agent", "gram").distinct(), ["agent", "gram"], "left_semi").groupBy("agent", "gram").agg(F.count("*").alias("n"))
+    # a term with a trigram that no question holds is in none of them
+    filed = keys.join(common, ["agent", "gram"], "left").groupBy("agent", "ord", "term", "t").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).where("rarest.n > 0")
+    met = held.join(filed.select("agent", F.col("rarest.gram").alias("gram"), "ord", "term", "t"), ["agent", "gram"]).where(F.contains("q", F.col("t")))
+    first = met.groupBy("agent", "q").agg(F.min(F.struct("ord", "term")).alias("hit"))
+    blocked = asked.join(first, ["agent", "q"]).select(F.col("agent").alias("_agent"), F.col("question").alias("_question"), F.col("hit.term").alias("blocked_term"))
+    return questions.drop("blocked_term").join(
+        blocked, (F.col("agent") == F.col("_agent")) & (F.col("question") == F.col("_question")), "left").drop("_agent", "_question")
 
 
 def render_refs(templates: DataFrame, resources: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def parse_traces(records: DataFrame, column: str = "record") -> DataFrame:
     return parsed.select(*[c for c in records.columns if c != column], "_t.*")
 
 
-def usage_report(traces: DataFrame, *keys: str, accuracy: int | None = None) -> DataFrame:
-    """Runs, latency and tokens per group; with ``accuracy`` also approximate latency percentiles."""
+def usage_report(traces: DataFrame, *keys: str) -> DataFrame:
+    """Runs, latency and tokens per group."""
     latency = F.col("latency_ms")
     measures = [
         F.count("*").alias("n_runs"),
@@ -67,14 +67,26 @@ def usage_report(traces: DataFrame, *keys: str, accuracy: int | None = None) ->
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
     ]
-    if accuracy:
-        measures += [
-            F.percentile_approx(latency, p, accuracy).alias(f"p{round(p * 100)}_latency_ms")
-            for p in (0.5, 0.95, 0.99)
-        ]
     return traces.groupBy(*keys).agg(*measures)
 
 
+def latency_sketches(traces: DataFrame, *keys: str, k: int = 400) -> DataFrame:
+    """One mergeable quantile sketch of the latencies per group, to be stored: ``(*keys, n_runs, sketch)``.
+
+    A sketch has a few kilobytes, whatever the number of runs. The rank of what it tells is off by about 2.3 / k ** 0.9 of the runs at most,
+    with 99 percent confidence (1.1 percent for ``k = 400``). Runs without a latency do not count.
+    """
+    known = traces.where(F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms"))
+    return known.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(k)).alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, *keys: str, at: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Quantiles of coarser groups from stored sketches, which are merged; no run is read again: ``(*keys, n_runs, p50_latency_ms, ...)``."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n_runs").alias("n_runs"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    told = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"p{round(p * 100)}_latency_ms") for p in at]
+    return merged.select(*keys, "n_runs", *told)
+
+
 def test_health(usage: DataFrame, tests: DataFrame) -> DataFrame:
     """Tests, in the trace's snapshot, of the resources a trace used: ``(trace_id, name, status)``; the status where known."""
     resource = ["manifest_digest", "unique_id"]

@@ -355,23 +355,25 @@ def c13(spark, sf):
     )
 
 
-_TERMS = ("ung", "eau", "the")
+# Terms an agent must not be asked about: part names in the order of their keys, and some short ones after them.
+_GUARD_TERMS = """
+select 'helper' as agent, cast(1000000 + p_partkey as bigint) as ord, p_name as term from part
+union all select 'helper', 1, 'UNGEN' union all select 'helper', 3, 'eau' union all select 'helper', 2, 'TION'
+union all select 'helper', 9, 'zq' union all select 'helper', 4, 'straßenlaterne'
+"""
 
 
 @query(
     "C14_guard",
-    """
-select conv_id, turn,
-       case when contains(q, 'ung') then 'UNG' when contains(q, 'eau') then 'eau' when contains(q, 'the') then 'the' end as blocked_term
-from (select conv_id, turn, replace(lower(text), 'ß', 'ss') as q from conversations where role = 'user') t
+    f"""
+with t as (select ord, term, replace(lower(term), 'ß', 'ss') as f from ({_GUARD_TERMS}) x),
+     q as (select conv_id, turn, replace(lower(text), 'ß', 'ss') as q from conversations where role = 'user')
+select conv_id, turn, (select arg_min(term, ord) from t where contains(q.q, t.f)) as blocked_term from q
 """,
 )
 def c14(spark, sf):
     questions = view(spark, sf, fx.QUESTIONS).withColumn("agent", F.lit("helper"))
-    terms = spark.createDataFrame(
-        [("helper", 2, "eau"), ("helper", 1, "UNG"), ("helper", 3, "the")], "agent string, ord int, term string"
-    )
-    return A.guard_questions(questions, terms).select("conv_id", "turn", "blocked_term")
+    return A.guard_questions(questions, view(spark, sf, _GUARD_TERMS)).select("conv_id", "turn", "blocked_term")
 
 
 @query(

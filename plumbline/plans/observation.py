@@ -8,6 +8,7 @@ from plumbline.operators import observe as O
 from plumbline.plans import fixtures as fx
 from plumbline.plans import scopes as B
 from plumbline.plans.registry import query, table, view
+from plumbline.session import cut
 
 
 def _traces(spark, sf):
@@ -73,6 +74,34 @@ def g02(spark, sf):
     return O.usage_report(flat, "agent", "day")
 
 
+# A quantile told by merged sketches lies between the exact ones a share of the runs below and above.
+_RANK_ERROR = 0.02
+
+
+@query(
+    "G02_latency_percentiles",
+    f"""
+select agent, count(*) as n_runs, true as p50_close, true as p95_close, true as p99_close, count(distinct cast(created_at as date)) as n_days
+from ({fx.RUNS}) r group by agent
+""",
+)
+def g02_percentiles(spark, sf):
+    """Sketches per agent and day, stored; quantiles per agent from them, held against the ranks in the exact distribution."""
+    runs = _traces(spark, sf).select("agent", F.to_date("created_at").alias("day"), F.col("usage.latency_ms").alias("latency_ms"))
+    stored = cut(O.latency_sketches(runs, "agent", "day"))
+    days = stored.groupBy("agent").agg(F.count("*").alias("n_days"))
+    told = O.latency_quantiles(stored, "agent").withColumnRenamed("n_runs", "n")
+    met = runs.join(told, "agent")
+
+    def close(p: int):
+        value = F.col(f"p{p}_latency_ms")
+        below, upto = F.count_if(F.col("latency_ms") < value), F.count_if(F.col("latency_ms") <= value)
+        n = F.count("*")
+        return ((below <= n * (p / 100 + _RANK_ERROR)) & (upto >= n * (p / 100 - _RANK_ERROR))).alias(f"p{p}_close")
+
+    return met.groupBy("agent").agg(F.max("n").alias("n_runs"), close(50), close(95), close(99)).join(days, "agent")
+
+
 # The tests of a part change with the snapshot; a run is judged by the one in force. Large parts have a test without a status.
 _PART_TESTS = """
 select manifest_digest, p_partkey as target_id,

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import intervals as I
 from plumbline.plans.governed import QueryRejected, Relation, governed_query
-from plumbline.plans.registry import TABLES, query
+from plumbline.plans.registry import TABLES, query, table
 
 
 def _relation(sf_dir: str, name: str) -> Relation:
@@ -131,6 +132,40 @@ def c11(spark, sf):
     return governed_query(spark, scope(sf, ["orders"]), f"{_NEWEST} limit 5000", max_rows=50)
 
 
+# What happened within ten minutes after each error, whoever did it; the spells of users that overlap with one of another user.
+@query(
+    "Q04_event_windows",
+    """
+select e.event_id as error_id, o.event_id as other_id, o.event_type
+from events e join events o on o.ts >= e.ts and o.ts < e.ts + interval 10 minute and o.event_id <> e.event_id
+where e.event_type = 'error'
+""",
+)
+def q04_windows(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "event_type", I.seconds("ts").alias("low"))
+    windows = events.where("event_type = 'error'").withColumn("high", F.col("low") + 600)
+    met = I.overlap_join(windows, events, (), ("low", "high"), ("low", "low"))
+    return met.where("left.event_id <> right.event_id").select(
+        F.col("left.event_id").alias("error_id"), F.col("right.event_id").alias("other_id"), F.col("right.event_type").alias("event_type"))
+
+
+# A spell lasts as many seconds as its event's value, from a second to minutes.
+@query(
+    "Q04_overlapping_spells",
+    """
+with s as (select event_id, event_type, ts, ts + to_microseconds(cast(round(value * 1000000) as bigint)) as until from events)
+select a.event_id as first_id, b.event_id as second_id, a.event_type
+from s a join s b on a.event_type = b.event_type and a.event_id < b.event_id and a.ts < b.until and b.ts < a.until
+""",
+)
+def q04_spells(spark, sf):
+    spells = table(spark, sf, "events").select(
+        "event_id", "event_type", I.seconds("ts").alias("low"), ((F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1e6).cast("long")) / 1e6).alias("high"))
+    met = I.overlap_join(spells, spells, ["event_type"])
+    return met.where("left.event_id < right.event_id").select(
+        F.col("left.event_id").alias("first_id"), F.col("right.event_id").alias("second_id"), F.col("left.event_type").alias("event_type"))
+
+
 # Texts and whether a governed query over customer, orders and nation accepts them.
 VERDICTS = {
     "plain": (True, "select c_custkey, c_name from customer"),

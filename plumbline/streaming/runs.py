@@ -39,9 +39,16 @@ def run_stream(
     return reader.format(format).load(path)
 
 
+def _marked(runs: DataFrame, delay: str) -> DataFrame:
+    """With a watermark; one that an earlier step has set stays, since a query has one per time."""
+    if "spark.watermarkDelayMs" in runs.schema["created_at"].metadata:
+        return runs
+    return runs.withWatermark("created_at", delay)
+
+
 def drop_repeats(runs: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each trace once, also when its record is written again within the delay."""
-    return runs.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["trace_id"])
+    return _marked(runs, delay).dropDuplicatesWithinWatermark(["trace_id"])
 
 
 def pass_rate_windows(
@@ -50,7 +57,7 @@ def pass_rate_windows(
     """Runs, passes and latency per agent and time window."""
     window = F.window("created_at", width, slide) if slide else F.window("created_at", width)
     return (
-        runs.withWatermark("created_at", delay)
+        _marked(runs, delay)
         .groupBy(window.alias("w"), "agent")
         .agg(
             F.count("*").alias("n_runs"),
@@ -71,7 +78,7 @@ def pass_rate_windows(
 def activity_sessions(runs: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Spells of activity per agent that end after a gap."""
     return (
-        runs.withWatermark("created_at", delay)
+        _marked(runs, delay)
         .groupBy(F.session_window("created_at", gap).alias("w"), "agent")
         .agg(F.count("*").alias("n_runs"))
         .select(
@@ -174,13 +181,14 @@ def regressions(runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return met.where(F.col("was") & ~F.col("passed")).select("agent", "case_name", "trace_id", "created_at")
 
 
-def run_available(stream: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def run_available(stream: DataFrame, label: str, partition_by: tuple[str, ...] = (), at: tuple[str, str] | None = None) -> DataFrame:
     """Process everything that has arrived, write it below the shared folder and return the result table.
 
-    State is kept in RocksDB, so that it may outgrow the executors' heap.
+    State is kept in RocksDB, so that it may outgrow the executors' heap. With ``at``, a folder for the result and one for the progress,
+    a later call, also of another process, goes on where the last one stopped: state, watermark and the files already read are kept.
     """
     spark = stream.sparkSession
-    out, progress = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
+    out, progress = at or (scratch_path(spark, label), scratch_path(spark, f"{label}-progress"))
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
