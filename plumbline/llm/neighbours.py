@@ -6,7 +6,8 @@ vectors, up to ``most_lists``, which bounds what is broadcast. A graph joins eac
 is indexed: best-first search in the graph finds its nearest centroids, and it is replicated to each whose distance is within
 ``replicate_ratio`` of the nearest one (``replicas`` at most), which covers vectors at the borders. A list whose rows exceed ``shard_rows``, for
 example because one vector is very frequent, is split into shards by a hash of the id. A query takes all lists whose centroid
-is within a ratio of the distance of its nearest one and is scored against them exactly, in double precision.
+is within a ratio of the distance of its nearest one and is scored against them exactly, in double precision: first against the nearest
+list, whose k-th hit bounds what the other lists hand on, so hits grow with the queries and hardly with their lists.
 
 The ratio is measured, not set: ``trial_queries`` queries are answered by brute force over all rows, and the ratio is the least
 that holds the lists of a share ``target`` of their true neighbours. So a table in clusters is searched in a few lists, and one without
@@ -44,6 +45,7 @@ class Settings:
     least_sample: int = 20_000
     degree: int = 24
     beam: int = 48
+    index_beam: int = 16
     replicas: int = 3
     replicate_ratio: float = 1.08
     target: float = 0.96
@@ -196,7 +198,7 @@ def fit(rows: DataFrame, settings: Settings) -> Centroids | None:
 
 
 def _assigned(rows: DataFrame, centroids, reach: Reach) -> DataFrame:
-    """(list, id, v): each row once for every list within its reach."""
+    """(list, first, id, v): each row once for every list within its reach; ``first`` marks the nearest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,9 +212,12 @@ def _assigned(rows: DataFrame, centroids, reach: Reach) -> DataFrame:
                     order, gap = centroids.value.search(q, min(reach.want, len(centroids.value.points)))
                     r, k = np.nonzero(reach.holds(gap)[:, : reach.most])
                     lists = order[r, k]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column("id").take(pa.array(r)), v.take(pa.array(r))], names=["list", "id", "v"])
+                first = np.zeros(len(r), bool)
+                first[np.unique(r, return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(first), part.column("id").take(pa.array(r)), v.take(pa.array(r))],
+                                                 names=["list", "first", "id", "v"])
 
-    return rows.mapInArrow(run, "list int, id long, v array<double>")
+    return rows.mapInArrow(run, "list int, first boolean, id long, v array<double>")
 
 
 def calibrated(vectors: DataFrame, queries: DataFrame, index: DataFrame, centroids: Centroids, k: int, settings: Settings) -> Reach:
@@ -241,17 +246,17 @@ def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5,
     return both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block for each query (its own id left out), exact cosines, ties to the smaller id."""
+def best(query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one block for each query (its own id left out) that reach its bound, exact cosines, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     out = []
     for at in range(0, len(queries), 64):
         scores = np.clip(np.einsum("qd,nd->qn", queries[at : at + 64], vectors), -1.0, 1.0)
         scores[query_ids[at : at + 64, None] == ids[None, :]] = -np.inf
-        for q, row in zip(query_ids[at : at + 64], scores, strict=True):
+        for q, row, bound in zip(query_ids[at : at + 64], scores, bounds[at : at + 64], strict=True):
             least = -np.partition(-row, k - 1)[k - 1] if len(row) > k else -np.inf
-            at_least = np.flatnonzero(row >= least)
+            at_least = np.flatnonzero(row >= max(least, bound))
             top = at_least[np.argsort(-row[at_least], kind="stable")[:k]]
             out += [(q, ids[i], row[i]) for i in top if np.isfinite(row[i])]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -263,7 +268,7 @@ def _met(queries: DataFrame, lists: DataFrame, by: list[str], k: int) -> DataFra
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return best(left["id"].to_numpy(), unit(np.stack(left["v"].to_numpy())), right["id"].to_numpy(), unit(np.stack(right["v"].to_numpy())), k)
+        return best(left["id"].to_numpy(), unit(np.stack(left["v"].to_numpy())), left["bound"].to_numpy(), right["id"].to_numpy(), unit(np.stack(right["v"].to_numpy())), k)
 
     queries = queries.toDF(*[f"q_{c}" for c in queries.columns]).select(*[F.col(f"q_{c}").alias(c) for c in queries.columns])  # may stem from the same rows
     return queries.groupBy(*by).cogroup(lists.groupBy(*by)).applyInPandas(score, _HIT)
@@ -282,7 +287,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Setting
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sent = spark.sparkContext.broadcast(fitted)
-    copies = Reach(settings.replicate_ratio, 0.0, settings.beam, settings.replicas)
+    copies = Reach(settings.replicate_ratio, 0.0, settings.index_beam, settings.replicas)
     index = written(_assigned(vectors, sent, copies), "ann-index")
     probes = written(_assigned(queries, sent, calibrated(vectors, queries, index, fitted, k, settings)), "ann-probes")
     # One row per list, at most ``most_lists``: into how many shards and query blocks it is cut.
@@ -291,8 +296,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Setting
     cuts = F.broadcast(cuts)
     h = F.xxhash64("id")
     rows = index.join(cuts, "list").select("list", F.pmod(h, "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
-    asked = probes.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(h, "blocks").cast("int").alias("block"), "id", "v")
-    hits = written(_met(asked, rows, ["list", "shard", "block"], k), "ann-hits")
+
+    def scored(asked: DataFrame, bound) -> DataFrame:
+        dealt = asked.join(cuts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(h, "blocks").cast("int").alias("block"), "id", "v", bound.alias("bound"))
+        return written(_met(dealt, rows, ["list", "shard", "block"], k), "ann-hits")
+
+    none = F.lit(float("-inf"))
+    nearest = scored(probes.where("first"), none)
+    bounds = _ranked(nearest, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    hits = nearest.unionAll(scored(probes.where(~F.col("first")).join(bounds, "id", "left"), F.coalesce("least", none)))
     short = queries.join(hits.select("query_id", "vec_id").distinct().groupBy("query_id").count().where(F.col("count") >= k).select(
         F.col("query_id").alias("id")), "id", "left_anti")
     return _ranked(hits.unionAll(exhaustive(vectors, short, k, settings)), k)
@@ -307,7 +319,7 @@ def exhaustive(vectors: DataFrame, queries: DataFrame, k: int, settings: Setting
     blocks = max(1, -(-found // settings.query_rows))
     h = F.xxhash64("id")
     rows = vectors.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), "id", "v", F.lit(float("-inf")).alias("bound"))
     return _met(asked, rows, ["shard", "block"], k)
 
 
