@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.compare import check_row_count, check_shape, compare
+from plumbline.operators.compare import check_row_count, check_shape, compare, difference_report
+from plumbline.session import cut
 from plumbline.operators.rollup import check_outcome, check_usage, pass_rate, rollup_suite, rollup_trace
 
 #: Checks in the order in which they are made and their failures told.
@@ -38,15 +39,10 @@ def evaluate(runs: DataFrame, cases: DataFrame, usage: DataFrame, actual: DataFr
     rows = actual.join(judged.select("cmp_id"), "cmp_id", "left_semi")
     wanted_rows = expected.withColumnRenamed("cmp_id", "case_id").join(
         judged.where("verifies_result").select("case_id", "cmp_id"), "case_id").select(*expected.columns)
-    verdicts = compare(rows, wanted_rows, specs)
-    difference = (
-        F.when(F.col("passed"), "")
-        .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("mode") == "scalar", "scalar values differ")
-        .when(F.col("n_actual") != F.col("n_expected"), F.concat(F.lit("expected "), "n_expected", F.lit(" rows; got "), "n_actual", F.lit(" rows")))
-        .otherwise("result rows differ")
-    )
-    checks = [verdicts.select("cmp_id", F.lit("result_match").alias("name"), "passed", difference.alias("message")),
+    verdicts = cut(compare(rows, wanted_rows, specs))
+    told = difference_report(rows, wanted_rows, specs, verdicts)
+    matched = verdicts.join(told, "cmp_id", "left").select("cmp_id", F.lit("result_match").alias("name"), "passed", F.coalesce("message", F.lit("")).alias("message"))
+    checks = [matched,
               check_row_count(rows, judged.where("row_count is not null").select("cmp_id", "row_count")),
               check_shape(rows, judged.where("size(columns) > 0").select("cmp_id", "columns"))]
     parts += [c.withColumnRenamed("cmp_id", "trace_id") for c in checks]

@@ -138,7 +138,7 @@ select query_id, ord,
 from {refs} r
 """
 
-_RESOLVED_COLUMNS = f"""
+RESOLVED_COLUMNS_SQL = f"""
 with used as (select distinct query_id, manifest_digest, unique_id from ({_BASE}) b where status = 'resolved'),
      aliased as (select query_id, concat('t', ord) as alias, manifest_digest, unique_id from ({_BASE}) b where status = 'resolved'),
      cols as (select manifest_digest, unique_id, lower(column_name) as folded from ({_RESOURCE_COLUMNS}) c),
@@ -171,18 +171,18 @@ def _resolved_columns(spark, sf, queries, resolved):
     )
 
 
-def _columns(spark, sf):
+def resolved_log(spark, sf):
     queries, _, resolved = _log(spark, sf)
     return queries, resolved, _resolved_columns(spark, sf, queries, resolved)
 
 
-@query("C06_columns", _RESOLVED_COLUMNS)
+@query("C06_columns", RESOLVED_COLUMNS_SQL)
 def c06(spark, sf):
-    return _columns(spark, sf)[2]
+    return resolved_log(spark, sf)[2]
 
 
 def _column_messages(status, text):
-    return f"select distinct query_id, {text} as message from ({_RESOLVED_COLUMNS}) c where status = '{status}'"
+    return f"select distinct query_id, {text} as message from ({RESOLVED_COLUMNS_SQL}) c where status = '{status}'"
 
 
 @query(
@@ -192,7 +192,7 @@ def _column_messages(status, text):
     ),
 )
 def c07(spark, sf):
-    found = A.audit_columns(_columns(spark, sf)[2])
+    found = A.audit_columns(resolved_log(spark, sf)[2])
     return found.where(F.contains("message", F.lit("ambiguous"))).select("query_id", "message")
 
 
@@ -204,7 +204,7 @@ def c07(spark, sf):
     ),
 )
 def c08(spark, sf):
-    found = A.audit_columns(_columns(spark, sf)[2])
+    found = A.audit_columns(resolved_log(spark, sf)[2])
     return found.where(F.contains("message", F.lit("derived"))).select("query_id", "message")
 
 
@@ -232,11 +232,11 @@ def _sensitive(spark, sf):
     return resources, columns, allow
 
 
-_USED = f"select query_id, manifest_digest, unique_id, min(ord) as ord from ({_BASE}) b where status = 'resolved' group by 1, 2, 3"
+USED_SQL = f"select query_id, manifest_digest, unique_id, min(ord) as ord from ({_BASE}) b where status = 'resolved' group by 1, 2, 3"
 
 _SENSITIVE_MODELS_SQL = f"""
 select query_id, 2 * ord as pos, concat('Sensitive model ''', unique_id, ''' requires explicit permission') as message
-from ({_USED}) u join ({_SENSITIVE_META}) s using (manifest_digest, unique_id) where is_model and p_size >= 3
+from ({USED_SQL}) u join ({_SENSITIVE_META}) s using (manifest_digest, unique_id) where is_model and p_size >= 3
 """
 
 
@@ -252,8 +252,8 @@ def c09(spark, sf):
 _SENSITIVE_COLUMNS_SQL = f"""
 select query_id, 2 * ord + 1 as pos, concat('Sensitive columns require explicit permission: ', string_agg(name, ', ' order by name)) as message
 from (select distinct n.query_id, u.unique_id, u.ord, n.name
-      from (select distinct query_id, name from ({_RESOLVED_COLUMNS}) c where status in ('found', 'ambiguous')) n
-      join ({_USED}) u on u.query_id = n.query_id
+      from (select distinct query_id, name from ({RESOLVED_COLUMNS_SQL}) c where status in ('found', 'ambiguous')) n
+      join ({USED_SQL}) u on u.query_id = n.query_id
       join ({_SENSITIVE_META}) s on s.manifest_digest = u.manifest_digest and s.unique_id = u.unique_id
         and ((flags_size and lower(n.name) = 'size') or (lists_price and not is_model and lower(n.name) = 'price'))) x
 group by query_id, unique_id, ord
@@ -262,7 +262,7 @@ group by query_id, unique_id, ord
 
 @query("C10_sensitive_columns", f"select query_id, message from ({_SENSITIVE_COLUMNS_SQL}) s")
 def c10(spark, sf):
-    queries, resolved, columns = _columns(spark, sf)
+    queries, resolved, columns = resolved_log(spark, sf)
     resources, declared, allow = _sensitive(spark, sf)
     return A.audit_sensitive_columns(
         A.used_resources(resolved),
@@ -276,13 +276,13 @@ def c10(spark, sf):
 @query(
     "C12_usage",
     f"""
-select query_id, 'model' as kind, unique_id as item from ({_USED}) u
+select query_id, 'model' as kind, unique_id as item from ({USED_SQL}) u
 union all
-select distinct query_id, 'column', name from ({_RESOLVED_COLUMNS}) c where status in ('found', 'ambiguous')
+select distinct query_id, 'column', name from ({RESOLVED_COLUMNS_SQL}) c where status in ('found', 'ambiguous')
 """,
 )
 def c12(spark, sf):
-    _, resolved, columns = _columns(spark, sf)
+    _, resolved, columns = resolved_log(spark, sf)
     models = A.used_resources(resolved).select("query_id", F.lit("model").alias("kind"), F.col("unique_id").alias("item"))
     return models.unionByName(
         A.used_columns(columns).select("query_id", F.lit("column").alias("kind"), F.col("name").alias("item"))
@@ -319,7 +319,7 @@ with f as (
   from (select distinct query_id from ({fx.RELATIONS}) f) q where query_id not in (select query_id from ({_BASE}) b)
   union all
   select u.query_id, 4, 0, 'join_conditions', 'Every multi-relation query requires explicit join conditions'
-  from (select query_id from ({_USED}) b group by 1 having count(*) > 1) u
+  from (select query_id from ({USED_SQL}) b group by 1 having count(*) > 1) u
   left join (select query_id, bool_and(has_on or has_using) as ok from ({_JOINS}) j group by 1) j on j.query_id = u.query_id
   where not coalesce(ok, false)
   union all
@@ -328,7 +328,7 @@ with f as (
                      when 'missing' then concat('Column ''', case when qualifier <> '' then concat(qualifier, '.') else '' end, name,
                                                 ''' does not exist on a selected dbt resource')
                      else concat('Unqualified column ''', name, ''' is ambiguous across selected dbt resources') end
-  from ({_RESOLVED_COLUMNS}) c where status in ('derived_missing', 'missing', 'ambiguous')
+  from ({RESOLVED_COLUMNS_SQL}) c where status in ('derived_missing', 'missing', 'ambiguous')
   union all select query_id, 6, pos, 'sensitive_access', message from ({_SENSITIVE_MODELS_SQL}) s
   union all select query_id, 6, pos, 'sensitive_access', message from ({_SENSITIVE_COLUMNS_SQL}) s),
  first as (select query_id, arg_min(chk, {{'s': step, 'p': pos, 'm': message}}) as chk, arg_min(message, {{'s': step, 'p': pos, 'm': message}}) as message

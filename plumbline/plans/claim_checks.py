@@ -21,16 +21,16 @@ from {base} lateral view explode(filter(array(
 """
 
 
-def _tables(spark, sf):
+def answer_tables(spark, sf):
     base = cut(view(spark, sf, fx.ANSWERS))  # four tables come from it
     answers = base.select(
-        "trace_id", "question", F.col("claim_text").alias("text"), F.lit(1).alias("row_count")
+        "trace_id", "question", F.col("claim_text").alias("text"), F.when(F.col("n_orders") == 10, 0).otherwise(1).alias("row_count")
     )
     claims = base.where("n_orders <> 14").select(
         "trace_id", F.lit(0).alias("claim_idx"), F.col("claim_text").alias("text")
     )
     none = F.lit(None).cast("string")
-    cells = base.select(
+    cells = base.where("n_orders <> 10").select(
         "trace_id",
         F.lit(0).alias("row_idx"),
         F.explode(
@@ -51,12 +51,13 @@ _BAD_EVIDENCE = f"""
 select trace_id, case when n_orders = 12 then 'Evidence row 1 does not exist'
                       else 'Evidence column ''discount'' does not exist in row 0' end as message
 from ({fx.ANSWERS}) a where n_orders in (11, 12)
+union all select trace_id, 'Evidence row 0 does not exist' from ({fx.ANSWERS}) a, (values (0), (1), (2)) v(i) where n_orders = 10
 """
 
 
 @query("F01_evidence", _BAD_EVIDENCE)
 def f01(spark, sf):
-    answers, _, evidence, cells = _tables(spark, sf)
+    answers, _, evidence, cells = answer_tables(spark, sf)
     return V.check_evidence(evidence, cells, answers).select("trace_id", "message")
 
 
@@ -69,7 +70,7 @@ select trace_id, 'Answer text has no evidence-linked claims' from ({fx.ANSWERS})
 """,
 )
 def f02(spark, sf):
-    answers, claims, evidence, _ = _tables(spark, sf)
+    answers, claims, evidence, _ = answer_tables(spark, sf)
     alone = V.unclaimed_answers(answers, claims)
     return V.check_claims_cited(claims, evidence).select("trace_id", "message").unionByName(
         alone.select("trace_id", F.lit("Answer text has no evidence-linked claims").alias("message"))
@@ -87,7 +88,7 @@ where length(n) <> 4
 
 @query("F03_numbers", _NUMBERS)
 def f03(spark, sf):
-    return V.claim_numbers(_tables(spark, sf)[1]).select("trace_id", "digits", "value", "decimals", "percent")
+    return V.claim_numbers(answer_tables(spark, sf)[1]).select("trace_id", "digits", "value", "decimals", "percent")
 
 
 _DATED = """
@@ -122,16 +123,16 @@ join (select trace_id, cast(n_orders as double) as cell from ({fx.ANSWERS}) x
       union all select trace_id, cast(total as double) from ({fx.ANSWERS}) y) c on c.trace_id = n.trace_id
 where n.digits <> cast(n.trace_id as varchar)
 group by n.trace_id, n.value, a.n_orders
-having a.n_orders <> 13
+having a.n_orders not in (10, 13)
 union all
 select n.trace_id, n.value, false from ({_NUMBERS}) n join ({fx.ANSWERS}) a on a.trace_id = n.trace_id
-where a.n_orders = 13 and n.digits <> cast(n.trace_id as varchar)
+where a.n_orders in (10, 13) and n.digits <> cast(n.trace_id as varchar)
 """
 
 
 @query("F05_number_support", _SUPPORT)
 def f05(spark, sf):
-    answers, claims, evidence, cells = _tables(spark, sf)
+    answers, claims, evidence, cells = answer_tables(spark, sf)
     cited = V.cited_cells(evidence, cells)
     support = V.number_support(V.claim_numbers(claims), cited, answers)
     return support.select("trace_id", "value", "supported")
@@ -185,45 +186,56 @@ def f07(spark, sf):
 
 @query(
     "F07_text_support",
-    f"select trace_id, top_status as str, top < 480000 as present from ({fx.ANSWERS}) a where n_orders not in (13, 14)",
+    f"select trace_id, top_status as str, top < 480000 as present from ({fx.ANSWERS}) a where n_orders not in (10, 13, 14)",
 )
 def f07_support(spark, sf):
-    answers, _, evidence, cells = _tables(spark, sf)
+    answers, _, evidence, cells = answer_tables(spark, sf)
     return V.text_support(V.cited_cells(evidence, cells), answers).select("trace_id", "str", "present")
 
 
 @query(
     "F08_evidence_present",
-    f"select trace_id, 'evidence_present' as name, true as passed from ({fx.ANSWERS}) a where n_orders <> 14",
+    f"select trace_id, 'evidence_present' as name, n_orders <> 10 as passed from ({fx.ANSWERS}) a where n_orders <> 14",
 )
 def f08(spark, sf):
     return f09(spark, sf).where("name = 'evidence_present'").select("trace_id", "name", "passed")
 
 
 _FAILURES = f"""
-select trace_id, concat('Claim has no evidence: ', claim_text) as message from ({fx.ANSWERS}) a where n_orders = 13
-union all select trace_id, 'Answer text has no evidence-linked claims' from ({fx.ANSWERS}) a where n_orders = 14
-union all select trace_id, message from ({_BAD_EVIDENCE}) b
-union all select trace_id, 'Numeric' from ({_SUPPORT}) s where not supported
-union all select trace_id, 'Text' from ({fx.ANSWERS}) a where top >= 480000 and n_orders not in (13, 14)
+select trace_id, 0 as ord, concat('Claim has no evidence: ', claim_text) as message, null as num from ({fx.ANSWERS}) a where n_orders = 13
+union all select trace_id, -1, 'Answer text has no evidence-linked claims', null from ({fx.ANSWERS}) a where n_orders = 14
+union all select trace_id, 1, message, null from ({_BAD_EVIDENCE}) b
+union all select distinct trace_id, 2, case when value = floor(value) then concat(cast(cast(value as bigint) as varchar), '.0') else cast(value as varchar) end, value
+          from ({_SUPPORT}) s where not supported
+union all select trace_id, 3, top_status, null from ({fx.ANSWERS}) a where top >= 480000 and n_orders not in (10, 13, 14)
+"""
+# All failures of an answer in one text.
+CLAIM_MESSAGES = f"""
+select trace_id, sum(n) as n, string_agg(text, '; ' order by ord) as message
+from (select trace_id, ord, count(*) as n,
+             case ord when 2 then concat('Numeric claim is absent from cited evidence: ', string_agg(message, ', ' order by num))
+                      when 3 then concat('Text claim is absent from cited evidence: ', string_agg(message, ', ' order by message))
+                      else string_agg(message, '; ' order by message) end as text
+      from ({_FAILURES}) f group by trace_id, ord) g
+group by trace_id
 """
 
 
 @query(
     "F09_verify_claims",
     f"""
-with f as (select trace_id, count(*) as n from ({_FAILURES}) x group by 1),
-     a as (select a.trace_id, n_orders, coalesce(f.n, 0) as n
-           from ({fx.ANSWERS}) a left join f on a.trace_id = f.trace_id)
-select trace_id, 1 as ordinal, 'claims_supported' as name, n = 0 as passed, n as n_failures from a
-union all select trace_id, 0, 'evidence_present', true, 0 from a where n_orders <> 14
-union all select trace_id, 2, 'explanation_matches_sql', true, 0 from a where n_orders <> 14
-union all select trace_id, 3, 'date_boundaries_disclosed', true, 0 from a
-union all select trace_id, 4, 'assumptions_disclosed', true, 0 from a
+with a as (select a.trace_id, n_orders, cast(coalesce(f.n, 0) as bigint) as n, coalesce(f.message, '') as message
+           from ({fx.ANSWERS}) a left join ({CLAIM_MESSAGES}) f on a.trace_id = f.trace_id)
+select trace_id, 1 as ordinal, 'claims_supported' as name, n = 0 as passed, n as n_failures, message from a
+union all select trace_id, 0, 'evidence_present', n_orders <> 10, 0, case when n_orders = 10 then 'No evidence rows returned' else '' end
+          from a where n_orders <> 14
+union all select trace_id, 2, 'explanation_matches_sql', true, 0, 'Answer was constructed after execution from SQL and evidence' from a where n_orders <> 14
+union all select trace_id, 3, 'date_boundaries_disclosed', true, 0, 'Boundaries are recorded in the interpretation' from a
+union all select trace_id, 4, 'assumptions_disclosed', true, 0, 'Assumptions are recorded in the interpretation' from a
 """,
 )
 def f09(spark, sf):
-    return V.verify_claims(*_tables(spark, sf)).drop("message")
+    return V.verify_claims(*answer_tables(spark, sf))
 
 
 @query("F10_claim_covered")
