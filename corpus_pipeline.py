@@ -19,6 +19,8 @@ from plumbline.session import scratch_path
 
 #: Near copies share this percentage of their shingles of so many words; op9_jaccard_join has a rule of its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: The key of the surrogates: of these synthetic tables only; with real documents it is a secret that is not in the code.
+SURROGATE_KEY = b"synthetic documents"
 #: A text whose best language has less than even odds against all others is rejected.
 LEAST_SCORE = 0.5
 
@@ -44,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities become surrogates; ``n_chars`` follows the text."""
-    return pseudonymise(docs, length_col="n_chars")
+    return pseudonymise(docs, SURROGATE_KEY, length_col="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
