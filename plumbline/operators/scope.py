@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.variants import relation_key
-from plumbline.session import cut
+from plumbline.session import stored
 
 
 def _padded(number: Column, width: int = 6) -> Column:
@@ -127,9 +127,10 @@ def closure(
 ) -> DataFrame:
     """Everything reached over one or more edges from ``starts(*keys, manifest_digest, unique_id)``.
 
-    Walks level by level: a round joins the newest level with the edges and keeps what is new, so
-    cycles end by themselves. Levels are written to reliable storage. Only known resources are
-    walked through. 'up' follows declared dependencies; 'down' follows every edge.
+    The starts that share their keys are one set, and sets are numbered. A vertex has a row for every 64 numbers it is reached from, whose
+    bits say from which, not a row for each: a round sends the bits that are new along the edges and ORs them at the other end. Cycles end
+    by themselves, since a round without a new bit is the last. State is written to reliable storage round by round. Only known
+    resources are walked through. 'up' follows declared dependencies; 'down' follows every edge.
     """
     if direction == "up":
         hops = edges.where("declared").select("manifest_digest", F.col("child_id").alias("unique_id"), F.col("parent_id").alias("next"))
@@ -141,26 +142,28 @@ def closure(
         hops = hops.join(
             resources.select("manifest_digest", "unique_id"), ["manifest_digest", "unique_id"], "left_semi"
         )
-    identity = [*keys, "manifest_digest", "unique_id"]
-    hops = cut(hops.distinct())
-    level = starts.select(*identity).distinct()
+    hops = stored(hops.distinct(), "hops")
+    numbered = stored(starts.select(*keys).distinct().withColumn("_id", F.monotonically_increasing_id()), "starts")
+    vertex = ["manifest_digest", "unique_id", "_word"]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_id") % 64).cast("int"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    marked = starts.alias("s").join(numbered.alias("n"), same).select("manifest_digest", "unique_id", F.floor(F.col("_id") / 64).alias("_word"), bit.alias("_bits"))
+    front = marked.groupBy(*vertex).agg(F.bit_or("_bits").alias("_bits"))
     reached: DataFrame | None = None
-    rounds = 0
     while True:
-        step = (
-            level.join(hops, ["manifest_digest", "unique_id"])
-            .select(*keys, "manifest_digest", F.col("next").alias("unique_id"))
-            .distinct()
-        )
+        step = front.join(hops, ["manifest_digest", "unique_id"]).groupBy("manifest_digest", F.col("next").alias("unique_id"), "_word").agg(F.bit_or("_bits").alias("_bits"))
         if reached is not None:
-            step = step.join(reached, identity, "left_anti")
-        level = cut(step)
-        if level.isEmpty():
-            return level if reached is None else reached
-        reached = level if reached is None else reached.unionByName(level)
-        rounds += 1
-        if rounds % 8 == 0:
-            reached = cut(reached)
+            known = reached.select(*[F.col(c).alias(f"k_{c}") for c in vertex], F.col("_bits").alias("_known"))
+            step = step.join(known, [F.col(c) == F.col(f"k_{c}") for c in vertex], "left").select(*vertex, F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long")))).alias("_bits"))
+            step = step.where("_bits <> 0")
+        front = stored(step, "closure")
+        if front.isEmpty():
+            break
+        reached = front if reached is None else stored(reached.unionByName(front).groupBy(*vertex).agg(F.bit_or("_bits").alias("_bits")), "closure")
+    found = front if reached is None else reached
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.call_function("getbit", F.col("_bits"), p) == 1)
+    pairs = found.select("manifest_digest", "unique_id", F.explode(places).alias("_place"), "_word").withColumn("_id", F.col("_word") * 64 + F.col("_place"))
+    return pairs.join(numbered, "_id").select(*keys, "manifest_digest", "unique_id")
 
 
 def _askable(reached: DataFrame, resources: DataFrame) -> DataFrame:
@@ -262,6 +265,11 @@ def ancestors(scopes: DataFrame, edges: DataFrame, resources: DataFrame) -> Data
     )
 
 
+def undocumented(columns: DataFrame) -> DataFrame:
+    """Resources with a column that lacks a description: the only ones whose ancestors matter."""
+    return columns.where(F.col("description") == "").select("manifest_digest", "unique_id").distinct()
+
+
 def inherit_descriptions(columns: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Descriptions for undocumented columns whose ancestors agree on exactly one."""
     bare = columns.where(F.col("description") == "").select("manifest_digest", "unique_id", "column_name")

@@ -117,27 +117,36 @@ select start, unique_id from walk
 _OPEN = f"select unique_id from ({fx.GRAPH_RESOURCES}) g where {_QUERYABLE} and resource_type <> 'source'"
 
 
-def _closure(spark, sf, direction):
+# Sets of starts: the orders of each priority, walked up; each nation and region, walked down.
+_PRIORITIES = "select o_orderpriority as start, concat('order.', cast(o_orderkey as varchar(20))) as unique_id from orders"
+_PLACES = """
+select n_name as start, concat('nation.', cast(n_nationkey as varchar(20))) as unique_id from nation
+union all select r_name, concat('region.', cast(r_regionkey as varchar(20))) from region
+"""
+
+
+def _closure(spark, sf, starts, direction):
     r, e = graph(spark, sf)
-    starts = r.select("manifest_digest", "unique_id", F.col("unique_id").alias("start"))
-    reached = S.closure(e, starts, direction, r)
+    sets = view(spark, sf, starts).withColumn("manifest_digest", F.lit("m"))
+    reached = S.closure(e, sets, direction, r)
     return S._askable(reached, r).select("start", "unique_id")
 
 
-@query(
-    "B03_upstream",
-    f"select * from ({_WALK.format(edges=fx.EDGES, src='child_id', dst='parent_id')}) w where unique_id in ({_OPEN})",
-)
+def _walked(starts, src, dst):
+    return f"""
+select distinct s.start, w.unique_id from ({starts}) s join ({_WALK.format(edges=fx.EDGES, src=src, dst=dst)}) w on w.start = s.unique_id
+where w.unique_id in ({_OPEN})
+"""
+
+
+@query("B03_upstream", _walked(_PRIORITIES, "child_id", "parent_id"))
 def b03(spark, sf):
-    return _closure(spark, sf, "up")
+    return _closure(spark, sf, _PRIORITIES, "up")
 
 
-@query(
-    "B04_downstream",
-    f"select * from ({_WALK.format(edges=fx.EDGES, src='parent_id', dst='child_id')}) w where unique_id in ({_OPEN})",
-)
+@query("B04_downstream", _walked(_PLACES, "parent_id", "child_id"))
 def b04(spark, sf):
-    return _closure(spark, sf, "down")
+    return _closure(spark, sf, _PLACES, "down")
 
 
 @query(
@@ -275,8 +284,8 @@ def _graph_history(spark, sf):
 
 def _inherited(spark, sf):
     r, e = graph(spark, sf)
-    scopes = r.select("manifest_digest", "unique_id")
-    return S.inherit_descriptions(_graph_columns(spark, sf), S.ancestors(scopes, e, r))
+    columns = _graph_columns(spark, sf)
+    return S.inherit_descriptions(columns, S.ancestors(S.undocumented(columns), e, r))
 
 
 @query("B08_inherited_descriptions", _INHERITED_SQL)
@@ -295,7 +304,7 @@ union all select '{digest}', unique_id, null from ({fx.GRAPH_RESOURCES}) g where
 @query("B09_missing_descriptions", f"{_missing_sql('m', _GRAPH_COLUMNS)} union all {_missing_sql('n', _GRAPH_COLUMNS_LATER)}")
 def b09(spark, sf):
     r, e, columns = _graph_history(spark, sf)
-    inherited = S.inherit_descriptions(columns, S.ancestors(r.select("manifest_digest", "unique_id"), e, r))
+    inherited = S.inherit_descriptions(columns, S.ancestors(S.undocumented(columns), e, r))
     r = r.withColumn("description", F.when(F.col("resource_type") == "source", "").otherwise("x"))
     scopes = r.select(F.lit("all").alias("agent"), "manifest_digest", "unique_id")
     return S.missing_descriptions(scopes, r, columns, inherited).select("manifest_digest", "unique_id", "column_name")

@@ -73,6 +73,13 @@ def drop_scratch(spark: SparkSession) -> int:
     return done
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, as often as it is joined with itself; survives the loss of executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage and drop the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)

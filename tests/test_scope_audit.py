@@ -138,8 +138,33 @@ def test_closure_ends_on_cycles(spark):
     assert ids(S.closure(edges, starts, "down")) == set("01234") == ids(S.closure(edges, starts, "up"))
 
 
+@pytest.mark.parametrize("direction", ["up", "down"])
+def test_reachability_equals_a_walk(spark, direction):
+    rng = random.Random(5)
+    edges = {(d, rng.randrange(60), rng.randrange(60)) for d in "mn" for _ in range(90)}
+    sets = [(i % 90 if i % 13 else None, rng.choice("mn"), rng.randrange(60)) for i in range(200)]  # more sets than one word has bits
+    table = spark.createDataFrame([(d, str(a), str(b), True) for d, a, b in edges], "manifest_digest string, parent_id string, child_id string, declared boolean")
+    starts = spark.createDataFrame([(k, d, str(v)) for k, d, v in sets], "start int, manifest_digest string, unique_id string")
+    want = set()
+    for k, d, v in sets:
+        seen, todo = set(), [v]
+        while todo:
+            x = todo.pop()
+            for g, a, b in edges:
+                y = (b if direction == "down" else a) if g == d and x == (a if direction == "down" else b) else None
+                if y is not None and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        want |= {(str(k), d, str(y)) for y in seen}
+    got = [(str(r.start), r.manifest_digest, r.unique_id) for r in S.closure(table, starts, direction).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert S.closure(table.limit(0), starts, direction).isEmpty() and S.closure(table, starts.limit(0), direction).isEmpty()
+
+
 def test_inherited_descriptions(now):
-    up = S.ancestors(now["res"].select("manifest_digest", "unique_id"), now["edges"], now["res"])
+    bare = S.undocumented(now["cols"])
+    assert bare.count() == 2
+    up = S.ancestors(bare, now["edges"], now["res"])
     got = {(r.unique_id, r.column_name): r.description for r in S.inherit_descriptions(now["cols"], up).collect()}
     assert got == {("model.ferry.crossings", "port"): "Where the vessel lands."}
 
