@@ -76,7 +76,8 @@ def op2_packing(spark, sf_dir):
 
 @query("op1_surrogates")
 def op1_surrogates(spark, sf_dir):
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    # a key of its own for these tables; real ones are not in the code
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), b"query of synthetic tables", count_col="n_entities")
 
 
 _JACCARD = rf"""
@@ -192,7 +193,8 @@ def _crc(value: str) -> str:
 _RUNS = rf"""
 with {_CRC_TABLE}, d as (
   select doc_id, row_number() over () as u, {_crc("doc_id::varchar")} as h,
-         coalesce(regexp_extract_all(text, '[^ 	-]+'), []) as w
+         coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) as w
   from documents, crc
 ), a as (
   select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a from d

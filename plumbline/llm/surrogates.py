@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type, format, script and gender.
 
-Method: entities are found by patterns (e-mail, phone, IPv4, payment card, IBAN, social security number, credentials,
-names after a title or a label). A value's surrogate is its successor in a keyed cyclic order of all values of the same
+Method: entities are found by patterns (e-mail, phone, IPv4 and IPv6, payment card, IBAN, social security number, credentials,
+names after a title or a label, listed given names before a surname). A name that is found is looked for in its whole document: the full name,
+the surname or the given name alone, with an initial, in the possessive or in capitals, so all mentions get the same surrogate. A value's surrogate is its successor in a keyed cyclic order of all values of the same
 form: characters change only within their class (digits, vowels, consonants, accented letters, by script), and check
 digits are computed anew. That map is a permutation without fixed points, so two values of a type never share a
 surrogate, none keeps its own, and one value has one surrogate wherever and in whatever spelling (case, separators) it
@@ -9,9 +10,11 @@ occurs, without a table that would grow with the corpus. Given names in the list
 gender and script. The collision check counts, over the distinct entities of all documents, surrogates that stand for
 two values, and refuses the result if there is one.
 
+The map is a permutation, so whoever has the key can undo it: the key is an argument without a default and has to be kept secret.
+
 Defined results: null text stays null, text without entities stays as it is, byte for byte; repeated rows are rewritten
 alike; an empty table stays empty; all other columns are kept as they are (``n_chars`` only if asked for). Overlapping
-finds: the one that begins first, then the type listed first.
+finds: the one that begins first, then the type listed first. A column named as ``count_col`` is replaced; ``length_col`` has to exist.
 """
 
 from __future__ import annotations
@@ -26,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import slices
+from plumbline.llm.frames import slices, written
 
-KEY = b"plumbline"
 _ROUNDS = 6
 
 #: Characters that may stand for one another.
@@ -54,10 +56,15 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 _CARD = re.compile(r"(?<![\w+.-])(?:\d[ -]?){12,18}\d(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
-_PHONE = re.compile(r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6})(?!\w)")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")
+_LABELLED_SSN = re.compile(r"(?i:\bssn|social security(?: number| no\.?)?)[ :#]{1,3}((?!000|666|9)\d{3} (?!00)\d{2} (?!0000)\d{4})(?![\w-])")
+_PHONE = re.compile(r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}|0\d{2,4} \d{3,4} \d{3,4})(?!\w)")
 _SECRET = re.compile(r"(?<!\w)(?:(AKIA)([0-9A-Z]{16})|((?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)([A-Za-z0-9_-]{8,}))(?!\w)")
 _NAME_PART = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _NAME = re.compile(rf"(?<!\w)(?:({'|'.join(sorted(_GENDER_OF, key=len, reverse=True))})\.? |((?i:name)(?: is|:) ))({_NAME_PART})(?: ({_NAME_PART}))?(?!\w)")
+_GENDER_OF_GIVEN = {n: g for (_, g), ns in GIVEN.items() for n in ns}
+_LISTED = re.compile(rf"(?<!\w)({'|'.join(sorted({n.title() for n in _GENDER_OF_GIVEN}, key=len, reverse=True))}) ({_NAME_PART})(?!\w)")
+_SOME_GIVEN = tuple(sorted({n.title() + " " for n in _GENDER_OF_GIVEN}))
 _DIGIT = re.compile(r"\d")
 
 
@@ -164,6 +171,13 @@ def _public(v: int) -> bool:
     return 0 < a < 224 and a not in (10, 127) and not (a == 172 and 16 <= b < 32) and not (a == 192 and b == 168)
 
 
+def _ip6(key: bytes, value: str) -> str:
+    """Another address below the same sixteen leading bits."""
+    v, low = int(ipaddress.IPv6Address(value)), 1 << 112
+    new = str(ipaddress.IPv6Address(v // low * low + successor(key, f"ip6{v // low}", low, v % low)))
+    return new.upper() if value.isupper() else new
+
+
 def _phone(key: bytes, value: str) -> str:
     d = re.sub(r"\D", "", value)
     if len(d) == 11 and d[0] == "1" or len(d) == 10 and not value.startswith("+"):  # +1 is understood where it is left out
@@ -187,10 +201,13 @@ def surrogate(key: bytes, kind: str, value: str) -> str:
     if kind == "email":
         return _email(key, *value.rsplit("@", 1))
     if kind == "ssn":
-        return _refill(value, reform(key, kind, value.replace("-", ""), lambda s: s[:3] not in ("000", "666") and s[0] < "9" and s[3:5] != "00" and s[5:] != "0000"))
+        return _refill(value, reform(key, kind, re.sub("[ -]", "", value), lambda s: s[:3] not in ("000", "666") and s[0] < "9" and s[3:5] != "00" and s[5:] != "0000"))
     if kind.startswith("given"):
         return _given(key, value, kind.partition(":")[2])
-    by = {"card": _card, "iban": _iban, "ip": _ip, "phone": _phone}.get(kind)
+    if kind.startswith("initial"):
+        _, gender, name = kind.split(":")
+        return _given(key, name, gender)[0].upper()
+    by = {"card": _card, "iban": _iban, "ip": _ip, "ip6": _ip6, "phone": _phone}.get(kind)
     return by(key, value) if by else reform(key, kind, value)
 
 
@@ -199,7 +216,7 @@ def canonical(kind: str, value: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         plain = re.sub(r"[\W_]", "", value)
         return plain[1:] if kind == "phone" and len(plain) == 11 and plain[0] == "1" else plain
-    return value.lower()
+    return ipaddress.IPv6Address(value).exploded if kind == "ip6" else value.lower()
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -226,17 +243,42 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for rank, kind, pattern in ((4, "ssn", _SSN), (5, "ip", _IP)):
             for m in pattern.finditer(text):
                 add(m, rank, kind)
+        for m in _LABELLED_SSN.finditer(text):
+            add(m, 4, "ssn", 1)
+        for m in _IP6.finditer(text) if ":" in text else ():
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            if m[0].count(":") > 2 and _DIGIT.search(m[0]):
+                add(m, 5, "ip6")
         for m in _PHONE.finditer(text):
             if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                 add(m, 6, "phone")
+    names: dict[str, str] = {}  # parts of names in lower case, and their kind
+    whole: dict[str, tuple[str, str]] = {}  # surname: given name and its gender
+
+    def name(m: re.Match, gender: str, given: int, last: int) -> None:
+        if given and m[given]:
+            add(m, 7, f"given:{gender}", given)
+            names.setdefault(m[given].lower(), f"given:{gender}")
+            whole.setdefault(m[last].lower(), (m[given], gender))
+        add(m, 7, "surname", last)
+        names.setdefault(m[last].lower(), "surname")
+
     if any(t in text for t in _MARKS):
         for m in _NAME.finditer(text):
-            gender = _GENDER_OF.get(m[1] or "", "")
-            if m[4]:
-                add(m, 7, f"given:{gender}", 3)
-                add(m, 7, "surname", 4)
-            else:
-                add(m, 7, "surname", 3)
+            name(m, _GENDER_OF.get(m[1] or "", ""), 3 if m[4] else 0, 4 if m[4] else 3)
+    if any(t in text for t in _SOME_GIVEN):
+        for m in _LISTED.finditer(text):
+            if len(m[2]) > 2:
+                name(m, names.get(m[1].lower(), "given:" + _GENDER_OF_GIVEN[m[1].lower()]).partition(":")[2], 1, 2)
+    if names:  # every further mention in this text, in either spelling
+        for m in _mentions(tuple(sorted(names))).finditer(text):
+            add(m, 8, names[m[2].lower()], 2)
+            given, gender = whole.get(m[2].lower(), ("", ""))
+            if m[1] and given[:1].lower() == m[1].lower():
+                add(m, 8, f"initial:{gender}:{given.lower()}", 1)
     out, at = [], 0
     for start, _, stop, kind in sorted(found):
         if start >= at:
@@ -245,10 +287,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+@lru_cache(maxsize=1_000)
+def _mentions(names: tuple[str, ...]) -> re.Pattern:
+    """Names as they are written: with a capital or in capitals, perhaps after an initial."""
+    forms = {form for n in names for form in (n.title(), n.capitalize(), n.upper())}
+    return re.compile(rf"(?<!\w)(?:([^\W\d_])\.(?: |(?=\S)))?({'|'.join(map(re.escape, sorted(forms, key=len, reverse=True)))})(?!\w)")
+
+
 _MARKS = tuple(f"{t}{mark}" for t in _GENDER_OF for mark in (" ", ". ")) + ("ame: ", "ame is ", "AME: ")
 
 
-def rewrite(text: str, key: bytes = KEY) -> tuple[str, int]:
+def rewrite(text: str, key: bytes) -> tuple[str, int]:
     """The text with surrogates, and the number of entities replaced."""
     found = entities(text)
     if not found:
@@ -260,14 +309,14 @@ def rewrite(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join([*out, text[at:]]), len(found)
 
 
-def entity_table(documents: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def entity_table(documents: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Distinct ``kind, value, surrogate`` (in canonical spelling) of all documents; tasks send each value once."""
     schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = {(kind, value) for part in slices(batch) for t in part.column(0).to_pylist() if t for _, _, kind, value in entities(t)}
-            rows = {(k.partition(":")[0], canonical(k, v), canonical(k, surrogate(key, k, v))) for k, v in seen}
+            rows = {(k.partition(":")[0], canonical(k, v), canonical(k, surrogate(key, k, v))) for k, v in seen if not k.startswith("initial")}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
 
     return documents.select(documents[text_col].cast("string").alias("text")).mapInArrow(run, "kind string, value string, surrogate string").distinct()
@@ -284,14 +333,20 @@ def collisions(table: DataFrame) -> DataFrame:
     return shared.unionAll(split).unionAll(same)
 
 
-def pseudonymise(documents: DataFrame, key: bytes = KEY, text_col: str = "text", count_col: str | None = None, length_col: str | None = None,
+def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None, length_col: str | None = None,
                  check: bool = True) -> DataFrame:
     """The documents with surrogates in ``text_col``; ``count_col`` adds the number of entities, ``length_col`` is set to the new length.
 
     ``check`` first runs the collision check over all documents and raises if it finds anything.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
+    if length_col is not None and length_col not in documents.columns:
+        raise ValueError(f"no column {length_col}")
+    if count_col is not None:
+        documents = documents.drop(count_col)
     if check:
-        found = collisions(entity_table(documents, key, text_col)).limit(5).collect()
+        found = collisions(written(entity_table(documents, key, text_col), "entities")).limit(5).collect()
         if found:
             raise ValueError(f"surrogates collide, use another key: {[tuple(r) for r in found]}")
     schema = documents.schema if count_col is None else type(documents.schema)([*documents.schema, *documents.sparkSession.createDataFrame([], f"`{count_col}` long").schema])
