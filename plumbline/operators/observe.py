@@ -96,15 +96,19 @@ def test_health(usage: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def validate_json(df: DataFrame, column: str, schema: dict[str, Any]) -> DataFrame:
-    """Adds ``problem``: why a text is no JSON value of the schema."""
-    doc = strict_json(F.col(column))
+    """Adds ``problem``: why a text is no JSON value of the schema.
+
+    A number written with a fraction is no integer, not even ``1.0``; the parser would drop the zero, so such numbers get an exponent first.
+    """
+    told = F.regexp_replace(column, r"(?<![\w.+\-\"])(-?\d+\.\d+)(?![\w.+\-])", "$1e0")
     return (
-        df.withColumn("_doc", doc)
+        df.withColumn("_doc", strict_json(F.col(column)))
+        .withColumn("_told", F.when(F.col("_doc").isNotNull(), F.coalesce(strict_json(told), F.col("_doc"))))
         .withColumn(
             "problem",
-            F.when(F.col("_doc").isNull(), "malformed JSON").otherwise(violation(F.col("_doc"), schema)),
+            F.when(F.col("_doc").isNull(), "malformed JSON").otherwise(violation(F.col("_told"), schema)),
         )
-        .drop("_doc")
+        .drop("_doc", "_told")
     )
 
 

@@ -192,10 +192,10 @@ def columns(raw: DataFrame) -> DataFrame:
     )
 
 
-def tests(raw: DataFrame) -> DataFrame:
-    """Tests, once per resource they depend on: ``(manifest_digest, test_id, target_id, name, column_name, arguments)``."""
+def tests(raw: DataFrame, resources: DataFrame) -> DataFrame:
+    """Tests, once per known resource they depend on: ``(manifest_digest, test_id, target_id, name, column_name, arguments)``."""
     r = F.col("raw")
-    return raw.where(
+    found = raw.where(
         (F.col("collection") == "nodes") & text_at(r, "$.resource_type").eqNullSafe("test")
     ).select(
         "manifest_digest",
@@ -208,10 +208,12 @@ def tests(raw: DataFrame) -> DataFrame:
         ).alias("column_name"),
         F.variant_get(r, "$.test_metadata.kwargs", "variant").alias("arguments"),
     )
+    known = resources.select("manifest_digest", F.col("unique_id").alias("target_id"))
+    return found.join(known, ["manifest_digest", "target_id"], "left_semi").select(*found.columns)
 
 
-def catalog_columns(catalogs: DataFrame) -> DataFrame:
-    """Physical columns of catalog documents ``(manifest_digest, doc)``."""
+def _catalog_entries(catalogs: DataFrame) -> DataFrame:
+    """Members of ``nodes`` and ``sources`` of catalog documents ``(manifest_digest, doc)``; of two like ids the latter counts."""
     both = F.array(
         *[
             F.struct(F.lit(i).alias("ord"), F.variant_get("doc", f"$.{n}", "variant").alias("members"))
@@ -222,9 +224,18 @@ def catalog_columns(catalogs: DataFrame) -> DataFrame:
         "manifest_digest", F.col("c.ord").alias("ord"), F.col("c.members").alias("members")
     )
     entries = _entries(parts, "members", "manifest_digest", "ord").where(is_object(F.col("value")))
-    resources = entries.groupBy("manifest_digest", F.col("key").alias("unique_id")).agg(
-        F.max_by(F.variant_get("value", "$.columns", "variant"), "ord").alias("members")
-    )
+    return entries.groupBy("manifest_digest", F.col("key").alias("unique_id")).agg(F.max_by("value", "ord").alias("value"))
+
+
+def catalog_statistics(catalogs: DataFrame, resources: DataFrame) -> DataFrame:
+    """Statistics of whole resources ``(manifest_digest, unique_id, statistics)`` for the known ones that a catalog describes."""
+    found = _catalog_entries(catalogs).select("manifest_digest", "unique_id", map_at(F.col("value"), "$.stats").alias("statistics"))
+    return found.join(resources.select("manifest_digest", "unique_id"), ["manifest_digest", "unique_id"], "left_semi")
+
+
+def catalog_columns(catalogs: DataFrame) -> DataFrame:
+    """Physical columns of catalog documents ``(manifest_digest, doc)``."""
+    resources = _catalog_entries(catalogs).select("manifest_digest", "unique_id", F.variant_get("value", "$.columns", "variant").alias("members"))
     found = _entries(resources, "members", "manifest_digest", "unique_id").where(is_object(F.col("value")))
     v = F.col("value")
     return found.select(

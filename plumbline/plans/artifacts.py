@@ -55,7 +55,7 @@ select block, 'nodes' as collection, concat('test.shop.not_null_', cast(p_partke
          'test_metadata', case when p_size < 3 then named_struct('name', 'not_null',
              'kwargs', named_struct('column_name', 'id')) end,
          'column_name', 'price',
-         'depends_on', named_struct('nodes', array(uid)))) as body
+         'depends_on', named_struct('nodes', array(uid, concat('model.shop.gone_', cast(p_partkey as string)))))) as body
 from {m} where p_size < 5
 """
 
@@ -228,6 +228,8 @@ union all
 select {_DIGEST}, {_UID}, concat('exposure.shop.use_', p_brand), false from part where p_size < 49
 union all
 select {_DIGEST}, {_UID}, concat('test.shop.not_null_', p_partkey), true from part where p_size < 5
+union all
+select {_DIGEST}, concat('model.shop.gone_', p_partkey), concat('test.shop.not_null_', p_partkey), true from part where p_size < 5
 """,
 )
 def a06(spark, sf):
@@ -245,14 +247,16 @@ from part where p_size < 5
 """,
 )
 def a07(spark, sf):
-    return N.tests(_resources(spark, sf)[1]).drop("arguments")
+    _, raw, r = _resources(spark, sf)
+    return N.tests(raw, r).drop("arguments")
 
 
 _CATALOG = f"""
 select {_BLOCK} as block, concat('"', {_KIND}, '.shop.part_', cast(p_partkey as string), '":',
        to_json(named_struct('columns', named_struct(
           'ID', named_struct('name', 'ID', 'type', 'BIGINT', 'stats', named_struct('rows', p_size)),
-          'color', named_struct('type', concat('VARCHAR(', cast(p_size as string), ')')))))) as body
+          'color', named_struct('type', concat('VARCHAR(', cast(p_size as string), ')'))),
+          'stats', named_struct('n_rows', named_struct('value', p_partkey * 10))))) as body
 from part where p_size < 49 and p_size > 2
 union all
 select {_BLOCK}, concat('"model.shop.unknown_', cast(p_partkey as string), '":{{"columns":{{"x":{{"type":"INT"}}}}}}')
@@ -260,13 +264,25 @@ from part
 """
 
 
-def _enriched(spark, sf):
-    m, raw, r = _resources(spark, sf)
+def _catalogs(spark, sf):
     texts = view(spark, sf, _CATALOG).groupBy("block").agg(
         F.concat(F.lit('{"nodes":{'), F.array_join(F.collect_list("body"), ","), F.lit("}}")).alias("text")
     )
-    docs = A.parse_documents(texts, "block").select(F.col("key").alias("manifest_digest"), "doc")
-    return N.enrich_catalog(N.columns(raw), N.catalog_columns(docs), r)
+    return A.parse_documents(texts, "block").select(F.col("key").alias("manifest_digest"), "doc")
+
+
+def _enriched(spark, sf):
+    _, raw, r = _resources(spark, sf)
+    return N.enrich_catalog(N.columns(raw), N.catalog_columns(_catalogs(spark, sf)), r)
+
+
+@query(
+    "A08_statistics",
+    f"select {_DIGEST}, {_UID} as unique_id, cast(p_partkey * 10 as bigint) as n_rows from part where p_size between 3 and 48",
+)
+def a08_statistics(spark, sf):
+    found = N.catalog_statistics(_catalogs(spark, sf), _resources(spark, sf)[2])
+    return found.select("manifest_digest", "unique_id", F.try_variant_get(F.col("statistics")["n_rows"], "$.value", "bigint").alias("n_rows"))
 
 
 _ENRICHED_SQL = f"""
@@ -441,12 +457,10 @@ def a14_agents(spark, sf):
     return W.validate_agents(agents).select("agent", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("A15_source", "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'F'")
+@query("A15_source", "select o_orderkey, o_custkey, o_orderstatus from orders")
 def a15(spark, sf):
     spec = T.SourceSpec("parquet", {"path": f"{sf}/orders.parquet", "schema": "main"})
-    return (
-        T.source(spark, spec).where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus")
-    )
+    return T.source(spark, spec).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query(

@@ -22,6 +22,8 @@ SCHEMA = {"type": "object", "additionalProperties": False, "required": ["depth"]
     ("{}", "Structured output $ is missing: depth"),
     ('{"depth": 7, "colour": true}', "Structured output $ has unexpected fields: colour"),
     ('{"depth": "7"}', "Structured output $.depth must have type integer"),
+    ('{"depth": 7.0}', "Structured output $.depth must have type integer"), ('{"depth": 7, "drift": 2.50}', None),
+    ('{"depth": 7, "drift": "9.5, 1.0"}', "Structured output $.drift must have type number or null"),
     ('{"depth": 0.25}', "Structured output $.depth must have type integer"),
     ('{"depth": 1, "drift": "x"}', "Structured output $.drift must have type number or null"),
     ('{"depth": 1, "probes": [{"tag": 1}, {}]}', "Structured output $.probes[1] is missing: tag"),
@@ -69,10 +71,10 @@ def test_invalid_expectations(spark):
 
 
 def test_live_status(spark):
-    runs = spark.createDataFrame([(1, "a", "  WHAT was  revenue? ", True), (2, "a", "new?", True), (3, "a", "broken?", True),
-                                  (4, "b", "what was revenue?", True), (5, "a", "what was revenue?", False)],
+    runs = spark.createDataFrame([(1, "a", "  WHERE is  the buoy? ", True), (2, "a", "new?", True), (3, "a", "broken?", True),
+                                  (4, "b", "where is the buoy?", True), (5, "a", "where is the buoy?", False)],
                                  "trace_id int, agent string, question string, passed boolean")
-    cases = spark.createDataFrame([("s", "d", "a", "july", "What was revenue?", "answer", True),
+    cases = spark.createDataFrame([("s", "d", "a", "buoy", "Where is the buoy?", "answer", True),
                                    ("s", "d", "a", "x", "new?", "answer", False), ("s", "d", "a", "y", "broken?", "answer", True)],
                                   "suite string, suite_digest string, agent string, case_name string, question string, "
                                   "expected_outcome string, verifies_result boolean")

@@ -52,7 +52,7 @@ LATER = {**FIRST, "nodes": {
     **{k: v for k, v in NODES.items() if k != "model.tides.moon"},
     "model.ferry.crossings": {**NODES["model.ferry.crossings"], "name": "trips", "alias": "trips", "relation_name": '"sea"."pub"."trips"',
                               "config": {"materialized": "table", "meta": {"sensitive_columns": ["port"]}}}}}
-CATALOG = {"nodes": {"model.ferry.crossings": {"columns": {"PASSENGERS": {"name": "PASSENGERS", "type": "SMALLINT"}, "crew": {"type": "TINYINT"}}},
+CATALOG = {"nodes": {"model.ferry.crossings": {"stats": {"bytes": {"value": 512}}, "columns": {"PASSENGERS": {"name": "PASSENGERS", "type": "SMALLINT"}, "crew": {"type": "TINYINT"}}},
                      "model.ferry.ghost": {"columns": {"x": {"type": "INT"}}}}}
 
 
@@ -102,7 +102,8 @@ def test_metadata_is_normalised(now):
     assert ids(now["res"].where("not queryable")) == {"model.ferry.wreck", "model.ferry.foam"}
     facets = {(x.facet, x["value"]): x.n_resources for x in N.summary(now["res"]).collect()}
     assert facets[("model_count", "")] == 4 and ("group", "traffic") in facets and ("path", "models/bridge") in facets
-    t = N.tests(now["raw"]).first()
+    assert N.tests(now["raw"], now["res"].limit(0)).isEmpty()
+    t = N.tests(now["raw"], now["res"]).first()
     assert (t.name, t.column_name, t.target_id) == ("not_null", "day", "model.ferry.crossings")
 
 
@@ -110,6 +111,8 @@ def test_catalog_only_enriches(spark, now):
     docs = artifacts.parse_documents(spark.createDataFrame([(1, json.dumps(CATALOG))], "id int, text string"), "id")
     physical = N.catalog_columns(docs.select(F.lit(now["digest"]).alias("manifest_digest"), "doc"))
     found = N.enrich_catalog(now["cols"], physical, now["res"])
+    whole = N.catalog_statistics(docs.select(F.lit(now["digest"]).alias("manifest_digest"), "doc"), now["res"]).collect()
+    assert [(r.unique_id, list(r.statistics)) for r in whole] == [("model.ferry.crossings", ["bytes"])]
     types = {r.column_name: (r.physical_type, r.data_type) for r in found.where("unique_id = 'model.ferry.crossings'").collect()}
     assert types["passengers"][0] == "SMALLINT" and types["crew"][1] == "TINYINT" and "model.ferry.ghost" not in ids(found)
 
