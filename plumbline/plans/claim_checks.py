@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import fixed
 from plumbline.functions.text import words, words_present
 from plumbline.operators import claims as V
 from plumbline.plans import fixtures as fx
@@ -238,7 +239,24 @@ def f09(spark, sf):
     return V.verify_claims(*answer_tables(spark, sf))
 
 
-@query("F10_claim_covered")
+_STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
+_ALIASED = "case x " + " ".join(f"when '{a}' then '{b}'" for a, b in fixed.WORD_ALIASES.items()) + " else x end"
+
+
+def _weighty(text: str) -> str:
+    return f"list_distinct(list_transform(list_filter(string_split({text}, ' '), lambda x: x <> '' and x not in ({_STOP})), lambda x: {_ALIASED}))"
+
+
+# What containment and shared words decide; no other pair of these turns is similar enough.
+@query(
+    "F10_claim_covered",
+    f"""
+with n as (select u.conv_id, u.turn, {_WORDS.format('u.text')} as a, {_WORDS.format('r.text')} as b
+           from conversations u join conversations r on r.conv_id = u.conv_id and r.turn = u.turn + 1 and r.role = 'assistant' where u.role = 'user'),
+     w as (select *, {_weighty('a')} as wa, {_weighty('b')} as wb from n)
+select conv_id, turn, contains(b, a) or contains(a, b) or coalesce(len(list_intersect(wa, wb)) > {fixed.SHARED_WORDS} * len(wa) and len(wa) > 0, false) as covered from w
+""",
+)
 def f10(spark, sf):
     turns = table(spark, sf, "conversations")
     said = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("claim"))

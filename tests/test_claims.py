@@ -117,6 +117,42 @@ def test_claim_coverage(spark, claim, context, covered):
     assert V.claim_covered(df).first().covered is covered
 
 
+def test_coverage_equals_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from plumbline.functions import fixed
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "was", "won", "games", "wins", "crate", "harbour", "9", "x" * rng.randrange(1, 6), f"w{rng.randrange(40)}"])
+    pairs = []
+    for i in range(250):
+        claim = " ".join(word() for _ in range(rng.randrange(0, 9)))
+        letters = list(claim)
+        for _ in range(rng.randrange(5)):
+            if letters:
+                letters[rng.randrange(len(letters))] = rng.choice("aeiou 1-")
+        context = rng.choice(["".join(letters), "".join(rng.sample(claim, len(claim))), " ".join(word() for _ in range(rng.randrange(0, 9)))])
+        pairs.append((i, claim, context))
+    tokens = lambda t: {fixed.WORD_ALIASES.get(w, w) for w in t.split() if w not in fixed.STOP_WORDS}
+    want, aligned = {}, 0
+    for i, claim, context in pairs:
+        a, b = (" ".join(re.findall("[a-z0-9]+", t.lower())) for t in (claim, context))
+        sure = a in b or b in a or bool(tokens(a)) and len(tokens(a) & tokens(b)) / len(tokens(a)) > 0.5
+        want[i] = sure or SequenceMatcher(None, a, b).ratio() >= 0.9
+        aligned += want[i] and not sure
+    got = {r.i: r.covered for r in V.claim_covered(spark.createDataFrame(pairs, "i int, claim string, context string")).collect()}
+    assert got == want and aligned and set(want.values()) == {True, False}
+
+
+def test_all_failures_are_told_in_order(spark):
+    rows = [(1, 1, 2, "Numeric claim is absent from cited evidence: 12.5"), (1, 1, 2, "Numeric claim is absent from cited evidence: 3.0"),
+            (1, 1, 2, "Numeric claim is absent from cited evidence: 1.2E8"), (1, 0, 0, "Claim has no evidence: x: y"), (1, 1, 3, "Text claim is absent from cited evidence: b: c"),
+            (1, 1, 3, "Text claim is absent from cited evidence: a"), (2, -1, 0, "Answer text has no evidence-linked claims")]
+    found = {r.trace_id: (r.n_failures, r.message) for r in V.claim_messages(spark.createDataFrame(rows, "trace_id int, claim_idx int, ord int, message string")).collect()}
+    assert found == {1: (6, "Claim has no evidence: x: y; Numeric claim is absent from cited evidence: 3.0, 12.5, 120000000.0; "
+                            "Text claim is absent from cited evidence: a, b: c"), 2: (1, "Answer text has no evidence-linked claims")}
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame(
         [("Harbour Lane Depot", "At Harbour Lane Depot they shipped 412 crates."),
