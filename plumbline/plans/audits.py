@@ -60,9 +60,12 @@ def c03(spark, sf):
 
 
 def _log(spark, sf):
-    """Facts of the query log. Line 1 references are CTE names; the rest are relations."""
-    queries = B.queries(spark, sf)
-    relations = B.relations(spark, sf).join(queries, "query_id").select(
+    """Facts of the query log. Line 1 references are CTE names; the rest are relations.
+
+    Numbered references, queries with their snapshots and the resolved relations are read by every check: each is written once.
+    """
+    queries, refs = cut(B.queries(spark, sf)), cut(B.relations(spark, sf))
+    relations = refs.join(queries, "query_id").select(
         "query_id",
         "ord",
         "agent",
@@ -73,9 +76,8 @@ def _log(spark, sf):
     )
     catalog = B.history(spark, sf)
     keys = S.relation_keys(B.everyone(catalog), catalog)
-    # read by every check: resolved once
     resolved = cut(S.resolve_relations(A.base_relations(relations), keys))
-    return queries, relations, resolved
+    return queries, refs, resolved
 
 
 _BASE = f"""
@@ -156,13 +158,13 @@ left join anywhere w on w.query_id = r.query_id and w.folded = lower(r.name)
 """
 
 
-def _resolved_columns(spark, sf, queries, resolved):
+def _resolved_columns(spark, sf, queries, refs, resolved):
     ids = queries.select("query_id")
     derived = ids.select(
         "query_id", F.lit("CTE").alias("alias"), F.explode(F.array(F.lit("Id"), F.lit("total"))).alias("column_name")
     )
     return A.resolve_columns(
-        spark.sql(_COLUMN_REFS, refs=B.relations(spark, sf)),
+        spark.sql(_COLUMN_REFS, refs=refs),
         A.query_usage(resolved),
         A.used_resources(resolved),
         derived,
@@ -172,8 +174,8 @@ def _resolved_columns(spark, sf, queries, resolved):
 
 
 def resolved_log(spark, sf):
-    queries, _, resolved = _log(spark, sf)
-    return queries, resolved, _resolved_columns(spark, sf, queries, resolved)
+    queries, refs, resolved = _log(spark, sf)
+    return queries, resolved, _resolved_columns(spark, sf, queries, refs, resolved)
 
 
 @query("C06_columns", RESOLVED_COLUMNS_SQL)
@@ -339,8 +341,8 @@ from (select distinct query_id from ({fx.RELATIONS}) f) q left join first on fir
 )
 def c13(spark, sf):
     """All seven checks over one resolved log; the first failure by check and place decides."""
-    queries, _, resolved = _log(spark, sf)
-    columns = cut(_resolved_columns(spark, sf, queries, resolved))
+    queries, refs, resolved = _log(spark, sf)
+    columns = cut(_resolved_columns(spark, sf, queries, refs, resolved))
     used = cut(A.used_resources(resolved))
     resources, declared, allow = _sensitive(spark, sf)
     return A.audit(

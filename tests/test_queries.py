@@ -18,7 +18,7 @@ from plumbline.plans.registry import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("E00_evaluate", "D04_ordered", "D06_unordered", "F05_number_support", "B03_upstream", "C13_verdict", "E09_verify_live",
-          "A03_resources", "Q08_rollup", "S03_pass_rate_windows")
+          "A03_resources", "Q08_rollup", "S03_pass_rate_windows", "B06_relations", "C01_verdicts", "D07_unordered_columns", "Q04_overlapping_spells")
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
