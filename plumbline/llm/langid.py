@@ -211,11 +211,18 @@ def _listed(counts: DataFrame, langs: list[str], by: list[str], key: str, limit:
     for r in _most_frequent(counts, by, key, limit).collect():
         into = out[r["size"]] if sized else out
         into.setdefault(r[key], []).append((index[r["lang"]], float(min(PENALTY, np.log(totals[tuple(r[c] for c in by)] / r["n"])))))
+    # rare keys of equal count have equal entries: each is held once, here and, since pickling keeps it so, in every task
+    held: dict = {}
+    for into in out.values() if sized else (out,):
+        for k, entry in into.items():
+            entry = tuple(held.setdefault(e, e) for e in entry)
+            into[k] = held.setdefault(entry, entry)
     return out
 
 
 def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's rows with ``lang_pred`` and ``score`` (share of the winner in a softmax of the mean scores) added."""
+    """The input's rows with ``lang_pred`` and ``score`` (share of the winner in a softmax of the mean scores) added; columns of these names are replaced."""
+    documents = documents.drop("lang_pred", "score")
     sent = documents.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -1,6 +1,6 @@
 from cases import docs
 
-from plumbline.llm.langid import Model, fit, held_out, identify, keep_identified, predict
+from plumbline.llm.langid import LENGTHS, Model, fit, held_out, identify, keep_identified, predict
 from pyspark.sql import functions as F
 
 EN, DE = "the house and the river under a bridge", "das haus und der fluss unter einer brücke"
@@ -49,3 +49,9 @@ def test_held_out_accuracy_on_the_given_documents(spark):
     data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = identify(data).withColumnRenamed("id", "doc_id").join(data.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     assert found.where("lang = lang_pred").count() >= 0.95 * found.count() > 0
+
+
+def test_predictions_replace_columns_of_their_names(spark):
+    model = Model(["aa"], {"ja": [(0, 1.0)]}, {n: {} for n in LENGTHS})
+    rows = spark.createDataFrame([("ja ja", "x", "y")], "text string, score string, lang_pred string")
+    assert predict(rows, model).first().asDict() == {"text": "ja ja", "lang_pred": "aa", "score": 1.0}
