@@ -4,7 +4,7 @@ A run of period q is a stretch of at least ``max(6, 4 q)`` words in which words
 neighbouring word extends.
 
 Method. A document is cut into overlapping tiles, once for all short periods and once for every further octave [s, 2 s) of periods; a
-tile is ``CORE`` octaves long and shares three periods with the next one, so each run is whole in a tile or shows at least three
+tile of an octave is ``core`` times s words long and shares three of its longest periods with the next one, so each run is whole in a tile or shows at least three
 of its periods in each of the tiles that it reaches into. Tiles are solved independently. Within one, boundaries stand every s words; a boundary is the
 start of a square of period q if the q words before and after it agree, which the blocks of s words at its ends tell by their
 hashes for all q of the octave in one comparison. Squares inside a stretch of a smaller period are no news and go; at most two per boundary
