@@ -4,6 +4,7 @@ import random
 import pytest
 from cases import ALNUM, docs, lower, prose
 
+from plumbline.llm import decontaminate as D
 from plumbline.llm.decontaminate import decontamination, remove, scan
 
 
@@ -24,7 +25,9 @@ def brute(texts, items, window=13):
     return out
 
 
-def test_scan_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [400_000, 70])
+def test_scan_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "MAX_WINDOWS", most)  # at once, or in parts
     rng = random.Random(7)
     items = [(i, prose(rng, rng.choice([1, 3, 12, 13, 14, 40]), 6 if i % 2 else 300)) for i in range(12)] + [(99, None), (98, ""), (10, "Ünï Code"), (3, "ünï code")]
     texts = [None, "", "  ,", "ÜNÏ code", "x ünï CODE y"]
@@ -46,8 +49,10 @@ def test_empty_tables_and_null_ids(spark):
     assert (row.doc_id, row.n_words, row.n_hit, row.contaminated) == (None, 3, 0, False)
 
 
-def test_remove_documents_or_spans(spark):
-    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+@pytest.mark.parametrize("most", [400_000, 1])
+def test_remove_documents_or_spans(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "MAX_WINDOWS", most)
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "nowhere to be found"), (3, "nor this")], "item_id long, text string")
     data = docs(spark, [(1, "Keep é: One two, three four! tail"), (2, "clean text"), (3, None), (4, "one two three four " + "w " * 100)])
     assert [r.doc_id for r in remove(data, bench).orderBy("doc_id").collect()] == [2, 3, 4]
     cut = {r.doc_id: r.text for r in remove(data, bench, "span").collect()}
