@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,84 @@ def test_alerts_do_not_depend_on_the_triggers(spark, tmp_path, files):
     assert live == batch == sorted(r.trace_id for r in L.regressions(df, hot_rows=5).collect()) and batch
 
 
+class _Handle:
+    """State of one case in memory; counts the timers that stand."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def getListState(self, name, schema):
+        return _Entries()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Entries(list):
+    appendValue, get = list.append, list.copy
+
+    def appendList(self, values):
+        self.extend(values)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_case_has_one_timer_however_many_runs_wait():
+    n = 1000
+    flips, handle = L._Flips(), _Handle()
+    flips.init(handle)
+    at = np.arange(n) * 1_000_000 + 500
+    rows = pd.DataFrame({"trace_id": np.arange(n), "passed": np.arange(n) % 3 != 2, "outcome": (np.arange(n) % 3 != 2).astype(int), "at": at,
+                         "created_at": pd.to_datetime(at, unit="us")})
+    flips.handleInputRows(("a", "c"), iter([rows[500:], rows[:500]]), None)
+    assert handle.timers == {1}
+    handle.timers.clear()  # the engine takes a timer that has fired
+    found = list(flips.handleExpiredTimer(("a", "c"), _Now(600_000), None))
+    assert sorted(found[0]["trace_id"]) == [i for i in range(600) if i % 3 == 2]
+    assert handle.timers == {600_001}
+    found = list(flips.handleExpiredTimer(("a", "c"), _Now(10**9), None))
+    assert sorted(found[0]["trace_id"]) == [i for i in range(600, n) if i % 3 == 2]
+
+
+def test_an_unknown_outcome_is_no_failure(spark, tmp_path):
+    rows = [(1, True, "00:01"), (2, None, "00:02"), (3, False, "00:03"), (4, True, "00:04"), (5, False, "00:05"), (99, True, "09:00")]
+    df = spark.createDataFrame(rows, "trace_id bigint, passed boolean, at string").selectExpr(
+        "trace_id", "'a' as agent", "'c' as case_name", "'q' as question", "passed", "1.0D as latency_ms", "cast('2026-01-01 ' || at || ':00' as timestamp) as created_at")
+    for part in ("trace_id < 99", "trace_id = 99"):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    found = L.run_available(L.regression_alerts(L.run_stream(spark, str(tmp_path / "log"), files_per_trigger=1)), "unknown")
+    assert [(r.trace_id, str(r.created_at)) for r in found.collect()] == [(5, "2026-01-01 00:05:00")]
+
+
 def test_jdbc_must_be_split_or_small(spark):
     with pytest.raises(ValueError, match="partitionColumn, lowerBound"):
         source(spark, SourceSpec("jdbc", {"url": "jdbc:x", "dbtable": "t"}))
