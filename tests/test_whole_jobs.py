@@ -27,3 +27,9 @@ def sql(text):
 def test_upstream_starts_at_every_vertex(spark):
     starts = {r.start for r in entry.queries()["B03_upstream"](spark, SF).select("start").distinct().collect()}
     assert starts >= sql("select concat('order.', o_orderkey) from orders join customer on c_custkey = o_custkey") | sql("select concat('customer.', c_custkey) from customer")
+
+
+def test_downstream_starts_at_every_vertex(spark):
+    starts = {r.start for r in entry.queries()["B04_downstream"](spark, SF).select("start").distinct().collect()}
+    assert starts >= sql("select concat('customer.', o_custkey) from orders join customer on c_custkey = o_custkey where o_orderpriority <> '1-URGENT'")
+    assert starts >= sql("select concat('nation.', c_nationkey) from customer where c_acctbal >= 0")
