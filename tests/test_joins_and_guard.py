@@ -67,6 +67,14 @@ def test_guard_equals_a_scan(spark):
     assert {r.blocked_term for r in none.collect()} == {None}
 
 
+def test_copies_of_a_term_are_looked_for_once(spark):
+    copies = [("x", 1000 - i, ("Straße", "STRASSE", "strasse")[i % 3]) for i in range(500)] + [("y", 7, "strasse"), ("x", 2000, "weg"), ("x", 1, None)]
+    terms = spark.createDataFrame(copies, "agent string, ord int, term string")
+    assert sorted(tuple(r) for r in A.folded_terms(terms).collect()) == [("x", 501, "STRASSE", "strasse"), ("x", 2000, "weg", "weg"), ("y", 7, "strasse", "strasse")]
+    asked = spark.createDataFrame([(1, "x", "Welche Strasse, welcher Weg?"), (2, "y", "Weg")], "id int, agent string, question string")
+    assert {r.id: r.blocked_term for r in A.guard_questions(asked, terms).collect()} == {1: "STRASSE", 2: None}
+
+
 def test_merged_sketches_keep_their_bound(spark):
     runs = spark.range(60_000).select((F.col("id") % 3).alias("agent"), (F.col("id") % 7).alias("day"), (F.rand(4) * F.rand(5) * 1000).alias("latency_ms")).cache()
     odd = spark.createDataFrame([(0, 0, None), (0, 0, float("nan"))], "agent bigint, day bigint, latency_ms double")
