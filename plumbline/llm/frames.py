@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,26 @@ def text_bytes(column: pa.Array):
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+_resident: dict[str, Any] = {}
+
+
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """The one large table that a task process keeps from task to task; a table of another name takes its place."""
+    if name not in _resident:
+        make_room()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def make_room() -> None:
+    """Drop what tasks of another kind have left in this process, and give freed memory back to the machine."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

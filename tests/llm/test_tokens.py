@@ -91,3 +91,38 @@ def test_plan_never_places_more_than_there_are():
         placed = {n: p.loose.get(n, (histogram[n], 0))[0] for n in range(1, 128)}
         assert all(placed[n] <= histogram[n] for n in placed)
     assert (P.combinations(20).sum(1) == 20).all() and len(P.combinations(4)) == 3
+
+
+def test_words_of_letters_skip_the_splitting(monkeypatch):
+    from plumbline.llm.tokens import Encoder, default_vocabulary
+
+    texts = ["Straße größer Ñandú naïve", "слово и ещё слово", "λόγος ΛΌΓΟΣ x", "ﬁ ℵ 漢字 don't a1 b.", "Žluťoučký kůň"]
+    coder = Encoder(default_vocabulary())
+    wanted = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen = []
+    raw = coder._raw
+
+    class Watched:
+        model = coder.tokenizer.model
+
+        def encode_batch_fast(self, parts, **named):
+            seen.extend(" ".join(parts).split())
+            return coder_tokenizer.encode_batch_fast(parts, **named)
+
+    coder_tokenizer = coder.tokenizer
+    monkeypatch.setattr(coder, "tokenizer", Watched())
+    assert coder.encode(texts) == wanted and raw is not None
+    assert "слово" not in seen and "größer" not in seen  # letters only: straight to the merges
+    assert "漢字" in seen and "don't" in seen
+
+
+def test_a_process_keeps_one_large_table_at_a_time():
+    from plumbline.llm.frames import make_room, resident
+
+    first = resident("first", list)
+    assert resident("first", list) is first
+    resident("second", list)
+    assert resident("first", list) is not first
+    again = resident("first", list)
+    make_room()
+    assert resident("first", list) is not again
