@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.frames import keyed_text, slices, text_bytes, written
+from plumbline.llm.frames import keyed_text, make_room, slices, text_bytes, written
 from plumbline.llm.words import SPACED, mix, windows_of, words_of
 
 SHINGLE = 3
@@ -38,6 +38,8 @@ FILTER_BITS = 23
 CELLS = 256
 #: Rows of one inverted list that a task compares at once; longer lists are compared block by block.
 BLOCK = 512
+#: Pairs that a comparing task remembers having sent, 16 bytes each.
+REMEMBERED = 1 << 18
 
 
 def _shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,7 @@ def bucket_counts(texts: DataFrame, size: int, bits: int) -> np.ndarray:
     """How many shingles of all texts fall in each of ``2**bits`` hash buckets: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -79,6 +82,7 @@ def features(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
                         ("prefix", pa.list_(pa.int64())), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch):
                 hashes, first = _shingles(part.column("text"), size)
@@ -118,6 +122,7 @@ def _screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     wide = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch):
                 gap = np.abs(_cells(part.column("ca")) - _cells(part.column("cb"))).sum(1)
@@ -134,6 +139,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     wide = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch):
                 ha, fa = _shingles(part.column("ta"), size)
@@ -174,8 +180,9 @@ def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         classes.select("rep", "n", "cells"), ["rep", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         held: list[pa.RecordBatch] = []
-        sent: set[tuple[int, int]] = set()  # pairs meet in many lists; a task sends them once, as far as it remembers
+        sent = np.zeros((REMEMBERED, 2), np.int64)  # pairs meet in many lists; a task sends them once, unless another has taken their place; a < b, so zeros are none
 
         def compare(part: pa.Table) -> pa.RecordBatch:
             key = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
@@ -195,11 +202,11 @@ def _meetings(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                         gap = np.abs(cells[other] - cells[k]).sum(1)
                         for o in other[~_far(n[other], n[k], gap, percent)]:
                             found.add((min(int(rep[k]), int(rep[o])), max(int(rep[k]), int(rep[o]))))
-            found -= sent
-            if len(sent) > 500_000:
-                sent.clear()
-            sent.update(found)
-            return pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            slot = (mix(pairs.view(np.uint64)[:, 0] ^ mix(pairs.view(np.uint64)[:, 1])) % np.uint64(len(sent))).astype(np.int64)
+            pairs, slot = (x[(sent[slot] != pairs).any(1)] for x in (pairs, slot))
+            sent[slot] = pairs
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:  # a tile may go on in the next batch: hold back the last one
             held.append(batch)

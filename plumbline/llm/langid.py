@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.frames import slices, written
+from plumbline.llm.frames import make_room, slices, written
 
 SAMPLE_ROWS = 10_000
 MAX_WORDS, WORDS_PER_LANGUAGE = 300_000, 50_000
@@ -60,6 +60,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) from rows (lang, text), counted inside tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         raw: dict[str, Counter] = {}
 
         def flush():
@@ -91,6 +92,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, size, gram, n): n-grams of the distinct words, weighted by how often each word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         held: Counter = Counter()
         schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
 
@@ -227,6 +229,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch):
                 langs, scores = sent.value.predict(part.column(text_col).to_pylist())
@@ -242,6 +245,7 @@ def keep_identified(documents: DataFrame, model: Model, min_score: float = 0.0,
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for part in slices(batch):
                 langs, scores = sent.value.predict(part.column(text_col).to_pylist())

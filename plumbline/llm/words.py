@@ -15,7 +15,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of one text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     out = []
@@ -51,7 +51,8 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pow2(n: int) -> int:
-    return 1 << max(12, int(n).bit_length())
+    """At least a whole piece, so that one table serves all but longer words."""
+    return 1 << max(PIECE.bit_length() - 1, int(n - 1).bit_length())
 
 
 @dataclass

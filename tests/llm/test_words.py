@@ -42,3 +42,12 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
 def test_slices_keep_every_row_once():
     batch = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (1, 10_000, 3, 70_000, 0, 5)]})
     assert [r for s in slices(batch, 9_000) for r in s.column("t").to_pylist()] == batch.column("t").to_pylist()
+
+
+def test_tables_of_powers_stay_small():
+    W._powers.cache_clear()
+    for size in (10, 5_000, 70_000, 3_000_000):
+        raw = np.frombuffer(b"abcdefg " * (size // 8 + 1), np.uint8)
+        W.words_of(raw, np.array([0, len(raw)]), W.SPACED)
+    assert W._powers.cache_info().currsize == 1
+    assert sum(x.nbytes for x in W._powers(W._BASE, W._pow2(W.PIECE))) <= 8 << 20
