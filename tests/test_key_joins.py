@@ -34,3 +34,17 @@ def test_relation_key_of_plain_and_unusual_names(spark):
     names = {'"DB".main.A_1': "db.main.a_1", "a..b.": "a.b", ' "a" . [b] ': "a.b", 'x"y': 'x"y', '""."b"': ".b", "": "", "`A`": "a"}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r.n: r.k for r in df.select("n", relation_key(df.n).alias("k")).collect()} == names
+
+
+def test_join_using_forms_no_pair_of_customer_and_supplier(spark, tmp_path):
+    from plumbline.plans.catalog import QUERIES
+    from plumbline.plans.registry import TABLES
+
+    supplier = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None), (1, 6)], "s_suppkey long, s_nationkey int")
+    customer = spark.createDataFrame([(1, 5, 0.0), (2, 5, 0.0), (3, 6, 0.0), (4, None, 0.0)], "c_custkey long, c_nationkey int, c_acctbal double")
+    for name in TABLES:
+        (supplier if name == "supplier" else customer).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["Q02_join_using"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 2), (3, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 2  # customers are counted below the join
