@@ -14,9 +14,13 @@ def digest(doc: Column) -> Column:
 
 
 def parse_documents(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, doc, digest, problem)``; a text that is no JSON object has a problem and no document."""
+    """``(key, doc, digest, problem)``; a text that is no JSON object has a problem and no document.
+
+    The document is exploded from an array of one, since what is generated is made once: a column would be parsed anew in every filter and
+    field that goes by it.
+    """
     doc = strict_json(F.col(text))
-    parsed = texts.select(F.col(key).alias("key"), doc.alias("doc"))
+    parsed = texts.select(F.col(key).alias("key"), F.explode(F.array(doc)).alias("doc"))
     good = is_object(F.col("doc"))
     return parsed.select(
         "key",
