@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.functions.variants import relation_key
 from plumbline.operators import audit as A
+from plumbline.operators import scope as S
 from plumbline.operators.joins import hashed_join
 
 
@@ -48,3 +49,12 @@ def test_join_using_forms_no_pair_of_customer_and_supplier(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 2), (3, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 2  # customers are counted below the join
+
+
+def test_rows_are_dealt_out_before_they_are_held(spark, tmp_path):
+    spark.range(100).selectExpr("'m' as manifest_digest", "cast(id % 60 as string) as unique_id", "'' as description").write.parquet(str(tmp_path / "c"))
+    found = S.undocumented(spark.read.parquet(str(tmp_path / "c")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "HashAggregate" not in plan[plan.index("Exchange"):]  # nothing is gathered below the shuffle
+    assert sorted(int(r["unique_id"]) for r in found.collect()) == list(range(60))
