@@ -44,6 +44,22 @@ def test_overlaps_equal_brute_force(spark, by):
     assert I.overlap_join(frames[0].limit(0), frames[1].limit(0), by).isEmpty()
 
 
+def test_crowded_buckets_are_dealt_out(spark):
+    """Points in windows, spells in spells; with a bound on a bucket's pairs both sides are cut somewhere, and few rows fill many tasks."""
+    rng = random.Random(8)
+    point = lambda i, x: (i, rng.choice("xy"), x, x)
+    points = [point(i, float(rng.randrange(300))) for i in range(150)] + [point(150 + i, 77.0) for i in range(60)]
+    windows = [(i, rng.choice("xy"), float(x), x + rng.choice((0.5, 40.0, 60.0))) for i, x in enumerate(rng.choices(range(300), k=40))]
+    many = [(40 + i, "x", 70.0 + i / 100, 130.0 + i / 100) for i in range(90)]
+    for left, right in ((windows, points), (windows + many, points[:20]), (points, windows), (windows, windows + many)):
+        frames = [spark.createDataFrame(x, "id int, k string, low double, high double").withColumn("m", F.create_map("k", "id")) for x in (left, right)]
+        want = sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and share_a_point(a[2:], b[2:]))
+        for bound in (20, 10**6):
+            met = I.overlap_join(*frames, ["k"], hot_pairs=bound)
+            assert sorted((r.left.id, r.right.id) for r in met.collect()) == want and want
+        assert met.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_no_nested_loop(spark):
     points = spark.range(1000).selectExpr("id", "double(id) as low", "double(id) as high")
     text = I.overlap_join(points, points.withColumn("high", F.col("low") + 5))._jdf.queryExecution().toString()
