@@ -55,3 +55,11 @@ def test_runs_resolve_their_own_queries_as_the_whole_log_does(spark):
         assert got and {r.query_id for r in got} <= wanted
         assert sorted(map(str, got)) == sorted(map(str, kept))
     assert A.used_resources(of_runs[1]).count()
+
+
+def test_suites_count_what_the_evaluation_passes(spark):
+    """Suites ask which cases passed, not why others failed: the differences of failed comparisons are not read for them."""
+    from plumbline.plans.evaluation import _verdicts
+
+    told, brief = ({r.trace_id: (r.passed, r.n_failed) for r in _verdicts(spark, SF, explain=explain)[0].collect()} for explain in (True, False))
+    assert told == brief and len({passed for passed, _ in told.values()}) == 2
